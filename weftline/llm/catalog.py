@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_groups", "q_formatting", "q_encoding"]
+MODULES = ["q_groups", "q_formatting", "q_encoding", "q_reading"]
 
 
 def queries() -> dict:
