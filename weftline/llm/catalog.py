@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_groups", "q_near", "q_formatting", "q_fusion", "q_encoding", "q_leaks", "q_reading"]
+MODULES = ["q_history", "q_groups", "q_near", "q_formatting", "q_fusion", "q_encoding", "q_leaks", "q_reading"]
 
 
 def queries() -> dict:
