@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from weftline.llm.cleaning import plain_text
 
@@ -44,6 +45,7 @@ def two_slips(a: str, b: str) -> bool:
     return any(slip(a[:i] + a[i + 1 :], b) for i in range(len(a))) if len(a) > len(b) else sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) <= 4 and any(slip(a[:i] + a[i + 1] + a[i] + a[i + 2 :], b) for i in range(len(a) - 1))
 
 
+@lru_cache(200_000)
 def _slipped_filler(w: str) -> bool:
     return any(len(f) >= 5 and slip(w, f) for f in FILLERS)
 

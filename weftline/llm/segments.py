@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
+from operator import ne
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,29 +60,37 @@ def search(searches: pa.Table, entries: pa.Table, slips: int = SLIPS) -> list[tu
     order = sorted(range(entries.num_rows), key=(suffix := entries.column("suffix").to_pylist()).__getitem__)
     suffix = [suffix[i] for i in order]
     texts, ts = entries.column("text").to_pylist(), entries.column("ts").to_pylist()
-    met: dict[str, dict[str, list]] = {}
+    number: dict[str, int] = {}  # texts by number, so that what they meet is kept in small sets
+    place = [number.setdefault(x, len(number)) for x in texts]
+    split = [x.split(" ") for x in number]
+    sets = [frozenset(x) for x in split]
+    earliest = [1 << 62] * len(number)
+    for i, n in enumerate(place):
+        earliest[n] = min(earliest[n], ts[i])
+    met: dict[str, dict[int, int]] = {}
     for text, what, size in zip(*(searches.column(c).to_pylist() for c in ("text", "what", "size"))):
-        lo, hi = bisect_left(suffix, what), bisect_left(suffix, what + END)
         of = met.setdefault(text, {})
-        for k in range(lo, hi):
-            i = order[k]
-            known = of.get(texts[i])
-            if known is None:
-                of[texts[i]] = [size, ts[i]]
-            else:
-                known[0] += size
-                known[1] = min(known[1], ts[i])
+        for k in range(bisect_left(suffix, what), bisect_left(suffix, what + END)):
+            n = place[order[k]]
+            of[n] = of.get(n, 0) + size
     out = []
     for text, of in met.items():
         w = text.split(" ")
-        best = None
-        for other, (covered, when) in of.items():
-            if best is not None and when >= best:
+        mine = frozenset(w)
+        own = number.get(text, -1)
+        best = 1 << 62
+        for n in sorted(of, key=of.__getitem__, reverse=True):  # most covered first
+            if earliest[n] >= best:
                 continue
-            v = other.split(" ")
-            if other == text or (abs(len(v) - len(w)) <= 2 and same_headline(w, v, slips)):
-                best = when
-        if best is not None:
+            v = split[n]
+            # words in place that differ, or words that only one side has: beyond the slips and one word cut in two there's no repeat
+            if len(v) == len(w):
+                near = n == own or sum(map(ne, v, w)) <= slips or len(sets[n] & mine) >= len(mine) - slips - 1
+            else:
+                near = abs(len(v) - len(w)) <= 2 and len(sets[n] & mine) >= min(len(sets[n]), len(mine)) - slips - 1
+            if near and (n == own or same_headline(w, v, slips)):
+                best = earliest[n]
+        if best < 1 << 62:
             out.append((text, best))
     return out
 
