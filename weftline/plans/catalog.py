@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["moments", "texts", "duplicates"]
+MODULES = ["moments", "texts", "duplicates", "vector_search", "retrieval"]
 
 
 def queries() -> dict:
