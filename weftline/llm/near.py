@@ -3,7 +3,7 @@
 One hash function maps words to 64 bits. A record's sketch is, for each of several affine re-orderings of
 those hashes (so one hash function serves all), its smallest values; runs of ROWS of them form
 the retained values of the inverted lists. Two records of Jaccard similarity s share a list with
-probability 1 - (1 - s^ROWS)^LISTS: 0.99997 at s = 0.7. The bottom-k values of the hash itself estimate the similarity of each
+probability s^ROWS each, and MEET or more of the LISTS with probability 0.9999 at s = 0.7. The bottom-k values of the hash itself estimate the similarity of each
 met pair from the k smallest values of the union; pairs far below the threshold are dropped before
 their word sets are fetched, and the exact Jaccard similarity decides."""
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ from weftline.llm.cleaning import words
 from weftline.operators.materialize import materialize
 
 ROWS = 5
-LISTS = 56
+LISTS = 72
+MEET = 2  # lists that a pair shares at least
+BUCKET_BITS = 22
 SKETCH = 24
 SLACK = 0.35  # how far an estimate may stand below the threshold: 3.7 standard errors of 24 values at 0.7
 SEED = 549
@@ -66,11 +69,12 @@ def sketch_records(records: DataFrame, row_id: str, texts: list[str]) -> DataFra
     return records.select(F.col(row_id).cast("long").alias("id"), *[F.col(t).cast("string").alias(f"_t{k}") for k, t in enumerate(texts)]).mapInArrow(run, "id long, w array<long>, h binary")
 
 
-def list_keys(sets: DataFrame) -> DataFrame:
-    """(key, id, sk, n) of each distinct set (id, w): its LISTS retained values, with its bottom-k values and size."""
+def list_keys(sets: DataFrame, lone: Broadcast) -> DataFrame:
+    """(key, id, n, m) of each distinct set (id, w): its LISTS retained values, its size and the number of its words that other sets may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _orderings()
+        bits = np.unpackbits(lone.value).astype(bool)
         spread = np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for s in range(0, batch.num_rows, 200):
@@ -88,48 +92,42 @@ def list_keys(sets: DataFrame) -> DataFrame:
                     keys = (keys ^ low[:, r::ROWS]) * np.uint64(0xBF58476D1CE4E5B9)
                     keys ^= keys >> np.uint64(31)
                 keys = keys ^ spread[None, :]
-                sk = [w[a : a + min(n, SKETCH)].tobytes() for a, n in zip(starts, size)]  # w is sorted: its first values are the smallest
+                shared = size - np.add.reduceat(bits[w >> np.uint64(64 - BUCKET_BITS)].astype(np.int64), starts)
                 who = np.repeat(np.arange(len(size)), LISTS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1).view(np.int64)), part.column(0).take(pa.array(who)), pa.array(sk, pa.binary()).take(pa.array(who)), pa.array(size[who].astype(np.int32))], names=["key", "id", "sk", "n"]
-                )
-
-    return sets.select("id", "w").mapInArrow(run, "key long, id long, sk binary, n int")
-
-
-def _estimate(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs whose union sketch can still mean the threshold: among the k smallest values of both sketches together, the share that both have."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = 8 * SKETCH
-        sides = []
-        for c in (2, 3):
-            raw = b"".join(x.ljust(k, b"\xff") for x in batch.column(c).to_pylist())
-            v = np.frombuffer(raw, np.uint64).reshape(batch.num_rows, SKETCH)
-            sides.append(v)
-        both = np.sort(np.concatenate(sides, axis=1), axis=1)
-        empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-        twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != empty)
-        fresh = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], axis=1) & (both != empty)
-        rank = np.cumsum(fresh, axis=1)
-        inside = rank[:, 1:] <= SKETCH
-        union = np.minimum(rank[:, -1], SKETCH)
-        est = (twice & inside).sum(axis=1) / np.maximum(union, 1)
-        keep = pa.array(est >= threshold - SLACK)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+                cols = [pa.array(keys.reshape(-1).view(np.int64)), part.column(0).take(pa.array(who)), pa.array(size[who].astype(np.int32)), pa.array(shared[who].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "n", "m"])
+
+    return sets.select("id", "w").mapInArrow(run, "key long, id long, n int, m int")
+
+
+def lone_words(sets: DataFrame) -> np.ndarray:
+    """A table of bits, fixed in size: which of 2^BUCKET_BITS buckets of the hash hold a single word of a single record. A word alone in its bucket is
+    in no other record; where the collection has more words than buckets the table is merely empty."""
+    per = sets.select(F.explode("w").alias("x")).groupBy(F.shiftrightunsigned("x", 64 - BUCKET_BITS).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    bits = np.zeros(1 << BUCKET_BITS, bool)
+    for batch in per.filter("n = 1").select("k").toArrow().to_batches():  # at most one row a bucket
+        bits[np.asarray(batch.column(0))] = True
+    return np.packbits(bits)
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of distinct sets (id, w), a < b, with Jaccard similarity of threshold or more."""
-    spark = sets.sparkSession
-    keys = list_keys(sets)
-    left = keys.select("key", F.col("id").alias("a"), F.col("sk").alias("ska"), F.col("n").alias("na"))
-    right = keys.select("key", F.col("id").alias("b"), F.col("sk").alias("skb"), F.col("n").alias("nb"))
-    sizes = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & sizes).groupBy("a", "b").agg(F.first("ska").alias("ska"), F.first("skb").alias("skb"))
-    kept = met.select("a", "b", "ska", "skb").mapInArrow(lambda it: _estimate(it, threshold), "a long, b long")
-    kept = materialize(kept, "met")
+    """(a, b, similarity) of distinct sets (id, w), a < b, with Jaccard similarity of threshold or more.
+
+    Rows of the inverted lists carry two numbers besides key and id: the set's size and how many of its words can be in another
+    set at all. They bound what a pair can reach exactly, so hot lists of records that share a frame but
+    not their names end here. Pairs that share MEET lists or more go on to the union sketch and, of
+    those that it lets pass, the word sets are fetched and compared."""
+    keys = list_keys(sets, sets.sparkSession.sparkContext.broadcast(lone_words(sets)))
+    met = keys.alias("l").join(keys.alias("r"), "key")
+    na, nb, o = F.col("l.n"), F.col("r.n"), F.least("l.m", "r.m")
+    can = (F.col("l.id") < F.col("r.id")) & (o >= threshold * (na + nb - o) - 1e-9)
+    met = met.filter(can).groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= MEET).select("a", "b")
+    met = materialize(met, "met")
+    sk = sets.select("id", F.slice("w", 1, SKETCH).alias("sk"))
+    both = met.join(sk.select(F.col("id").alias("a"), F.col("sk").alias("ska")), "a").join(sk.select(F.col("id").alias("b"), F.col("sk").alias("skb")), "b")
+    union = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, SKETCH)  # the smallest values of the union
+    shared = F.size(F.array_intersect(union, F.array_intersect("ska", "skb")))
+    kept = materialize(both.filter(shared >= (threshold - SLACK) * F.size(union)).select("a", "b"), "kept")
     wa = sets.select(F.col("id").alias("a"), F.col("w").alias("wa"))
     wb = sets.select(F.col("id").alias("b"), F.col("w").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
