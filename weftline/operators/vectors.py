@@ -58,7 +58,7 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, doc_id: str, vector: str, k
                 for s in range(0, batch.num_rows, size):
                     part = batch.slice(s, size)
                     d_ids = np.asarray(part.column(0))
-                    scores = m @ unit_rows(matrix(part.column(1))).T
+                    scores = np.round(m @ unit_rows(matrix(part.column(1))).T, 12)  # products depend on the block; equal vectors tie
                     if exclude_self:
                         scores = np.where(ids[:, None] == d_ids[None, :], -np.inf, scores)
                     scores = np.concatenate([keep_s, scores], axis=1)
@@ -213,7 +213,7 @@ class IvfIndex:
                     d = unit_rows(c[None] + np.concatenate([b[d[:, i].astype(int)] for i, b in enumerate(books)], axis=1))
                 ids = np.asarray(right.column("doc_id"))
                 for s in range(0, len(q), 256):
-                    scores = q[s : s + 256] @ d.T
+                    scores = np.round(q[s : s + 256] @ d.T, 12)
                     order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
                     who.append(np.repeat(np.asarray(left.column("query_id"))[s : s + 256], order.shape[1]))
                     names.append(ids[order].reshape(-1))

@@ -46,7 +46,7 @@ def story_aggregates(spark: SparkSession, d: str) -> DataFrame:
     m = _members(spark, d)
     dup = F.coalesce("is_near_duplicate", F.lit(False))
     return m.groupBy("story_label").agg(
-        F.count(F.lit(1)).alias("articles"), F.countDistinct(F.when(~dup, F.col("source_domain"))).alias("domains"), F.count_if(dup).alias("duplicates"), F.min("retrieved_at").alias("first_at"), F.max("retrieved_at").alias("last_at")
+        F.count(F.lit(1)).alias("articles"), F.countDistinct(F.when(~dup, F.col("source_domain"))).alias("domains"), F.count_if(dup).alias("duplicates"), F.unix_micros(F.min("retrieved_at")).alias("first_us"), F.unix_micros(F.max("retrieved_at")).alias("last_us")
     )
 
 
@@ -58,7 +58,7 @@ def story_domains(spark: SparkSession, d: str) -> DataFrame:
 def story_list(spark: SparkSession, d: str) -> DataFrame:
     """A page of stories: most domains first, then the latest."""
     s = story_aggregates(spark, d).filter(F.col("articles") >= 1)
-    return s.orderBy(F.desc("domains"), F.desc_nulls_last("last_at"), F.desc("story_label")).offset(5).limit(20)
+    return s.orderBy(F.desc("domains"), F.desc_nulls_last("last_us"), F.desc("story_label")).offset(5).limit(20)
 
 
 def first_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def chrono_split(spark: SparkSession, d: str) -> DataFrame:
     s = chronological_split(articles(spark, d, "retrieved_at"), "retrieved_at", "id")
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min("retrieved_at").alias("first_at"), F.max("retrieved_at").alias("last_at"))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.unix_micros(F.min("retrieved_at")).alias("first_us"), F.unix_micros(F.max("retrieved_at")).alias("last_us"))
 
 
 def time_tiles(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def corpus_description(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "documents")
     per = c.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    a = c.agg(F.count(F.lit(1)).alias("docs"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
+    a = c.agg(F.count(F.lit(1)).alias("docs"), F.unix_micros(F.min("published_at")).alias("first_us"), F.unix_micros(F.max("published_at")).alias("last_us"))
     return a.crossJoin(F.broadcast(per.agg(F.count(F.lit(1)).alias("sources"), F.round(F.median("n"), 3).alias("median_size"), F.max("n").alias("max_size"))))
 
 
@@ -183,7 +183,7 @@ QUERIES = {
 
 _M = f"""m AS (SELECT a.*, l.story_label FROM {A} a JOIN {canon_sql(A, 'id', 'url')} c ON a.id = c.id JOIN
   (SELECT u, arg_min(story_label, k) AS story_label FROM (SELECT x.id AS k, x.canonical_url AS u, y.story_label FROM {canon_sql('(SELECT * FROM fixture_story_labels WHERE canonical_url IS NOT NULL)', 'label_id', 'canonical_url')} x JOIN fixture_story_labels y ON y.label_id = x.id) GROUP BY u) l ON l.u = c.canonical_url)"""
-_AGG = "SELECT story_label, count(*) AS articles, count(DISTINCT CASE WHEN NOT coalesce(is_near_duplicate, false) THEN source_domain END) AS domains, count(*) FILTER (WHERE coalesce(is_near_duplicate, false)) AS duplicates, min(retrieved_at) AS first_at, max(retrieved_at) AS last_at FROM m GROUP BY story_label"
+_AGG = "SELECT story_label, count(*) AS articles, count(DISTINCT CASE WHEN NOT coalesce(is_near_duplicate, false) THEN source_domain END) AS domains, count(*) FILTER (WHERE coalesce(is_near_duplicate, false)) AS duplicates, epoch_us(min(retrieved_at)) AS first_us, epoch_us(max(retrieved_at)) AS last_us FROM m GROUP BY story_label"
 _B = "lower(trim((CASE WHEN coalesce(title, '') = '' OR regexp_matches(title, '[.!?]$') THEN coalesce(title, '') ELSE title || '.' END) || ' ' || coalesce(excerpt, '')))"
 _DAY = 86_400_000_000
 ORACLE = {
@@ -193,12 +193,12 @@ ORACLE = {
     "story_members": f"WITH {_M} SELECT id, story_label FROM m",
     "story_aggregates": f"WITH {_M} {_AGG}",
     "story_domains": f"WITH {_M} SELECT story_label, string_agg(DISTINCT source_domain, ',' ORDER BY source_domain) AS domains FROM m WHERE NOT coalesce(is_near_duplicate, false) GROUP BY story_label",
-    "story_list": f"WITH {_M} SELECT * FROM ({_AGG}) ORDER BY domains DESC, last_at DESC NULLS LAST, story_label DESC LIMIT 20 OFFSET 5",
+    "story_list": f"WITH {_M} SELECT * FROM ({_AGG}) ORDER BY domains DESC, last_us DESC NULLS LAST, story_label DESC LIMIT 20 OFFSET 5",
     "first_reports": f"WITH {_M} SELECT story_label, arg_min(id, (retrieved_at, id)) AS first_id FROM m WHERE NOT coalesce(is_near_duplicate, false) GROUP BY story_label",
     "topic_counts": f"SELECT topic, coalesce(x.n, 0) AS n_articles, coalesce(y.n, 0) AS n_documents FROM (SELECT topic, count(*) AS n FROM {A} WHERE topic IS NOT NULL GROUP BY topic) x FULL JOIN (SELECT topic, count(*) AS n FROM documents WHERE topic IS NOT NULL GROUP BY topic) y USING (topic)",
     "global_counts": f"SELECT count(*) AS articles, count(*) FILTER (WHERE is_near_duplicate) AS duplicates, count(DISTINCT topic) AS topics, max(id) AS max_id FROM {A}",
     "keyword_topk": f"SELECT topic, word, count(*) AS n, (row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, word))::INT AS rank FROM (SELECT topic, unnest({tok('title')}) AS word FROM {A} WHERE topic IS NOT NULL) WHERE length(word) > 3 AND word NOT IN ({', '.join(chr(39) + w + chr(39) for w in T.TITLE_STOP)}) GROUP BY topic, word QUALIFY rank <= 8",
-    "chrono_split": f"SELECT split, count(*) AS rows, min(retrieved_at) AS first_at, max(retrieved_at) AS last_at FROM (SELECT retrieved_at, CASE WHEN r <= greatest(1, floor(n * 0.6)) THEN 'fit' WHEN r <= floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM (SELECT retrieved_at, row_number() OVER (ORDER BY retrieved_at NULLS FIRST, id) AS r, count(*) OVER () AS n FROM {A})) GROUP BY split",
+    "chrono_split": f"SELECT split, count(*) AS rows, epoch_us(min(retrieved_at)) AS first_us, epoch_us(max(retrieved_at)) AS last_us FROM (SELECT retrieved_at, CASE WHEN r <= greatest(1, floor(n * 0.6)) THEN 'fit' WHEN r <= floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM (SELECT retrieved_at, row_number() OVER (ORDER BY retrieved_at NULLS FIRST, id) AS r, count(*) OVER () AS n FROM {A})) GROUP BY split",
     "time_tiles": "SELECT least(((t - lo) * 12) // greatest(hi - lo, 1), 11)::BIGINT AS tile, count(*) AS events FROM (SELECT epoch_us(ts) AS t FROM events), (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events) GROUP BY 1",
     "label_pairs_band": "SELECT * FROM (SELECT DISTINCT article_a_id, article_b_id, score FROM story_pairs WHERE score BETWEEN 0.6 AND 0.7 AND article_a_id IS NOT NULL AND article_b_id IS NOT NULL) ORDER BY abs(score - 0.65::DOUBLE), article_a_id, article_b_id LIMIT 50",
     "missing_embeddings": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
@@ -207,7 +207,7 @@ ORACLE = {
     "distinct_sources": "SELECT DISTINCT domain, language FROM ai_models",
     "source_sets": "WITH a AS (SELECT DISTINCT source_domain AS s FROM articles), o AS (SELECT DISTINCT source AS s FROM documents) SELECT what, count(*) AS sources FROM (SELECT 'both' AS what, s FROM (SELECT s FROM a INTERSECT SELECT s FROM o) UNION ALL SELECT 'articles_only', s FROM (SELECT s FROM a EXCEPT SELECT s FROM o) UNION ALL SELECT 'all', s FROM (SELECT s FROM a UNION SELECT s FROM o)) GROUP BY what",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type",
-    "corpus_description": "SELECT (SELECT count(*) FROM documents) AS docs, (SELECT min(published_at) FROM documents) AS first_at, (SELECT max(published_at) FROM documents) AS last_at, count(*) AS sources, round(median(n), 3) AS median_size, max(n) AS max_size FROM (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source)",
+    "corpus_description": "SELECT (SELECT count(*) FROM documents) AS docs, (SELECT epoch_us(min(published_at)) FROM documents) AS first_us, (SELECT epoch_us(max(published_at)) FROM documents) AS last_us, count(*) AS sources, round(median(n), 3) AS median_size, max(n)::BIGINT AS max_size FROM (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source)",
     "merged_articles": f"SELECT id, rows, title, topic FROM (SELECT min(a.id) AS id, count(*) AS rows, arg_min(title, CASE WHEN coalesce(title, '') <> '' THEN a.id END) AS title, arg_min(topic, CASE WHEN coalesce(topic, '') <> '' THEN a.id END) AS topic FROM {A} a JOIN {canon_sql(A, 'id', 'url')} c ON a.id = c.id WHERE canonical_url <> '' GROUP BY canonical_url) WHERE rows > 1",
     "latest_wins": "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY user_id, event_type",
     "story_overlap": f"WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) AS s FROM orders WHERE o_custkey % 50 = 0), w AS (SELECT epoch_us(l_shipdate) AS lo FROM lineitem WHERE l_partkey % 500 = 0) SELECT o_orderkey, count(*) AS overlaps FROM o JOIN w ON s <= lo + {_DAY} AND lo <= s + {3 * _DAY} GROUP BY o_orderkey",
