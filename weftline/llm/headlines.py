@@ -18,7 +18,6 @@ _LABEL = re.compile(r"^\W*(?:%s)(?: ?\d{1,2})?(?:\s*[:\])|–—·]+\s*|\s*-+\s*
 _END_LABEL = re.compile(r"\s*[(\[|–—-]\s*(?:%s)\s*[)\]]?\W*$" % "|".join(map(re.escape, ["video", "photos", "watch", "live", "updated", "exclusive", "update"])), re.I)
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|%")
 _NO_NEWS = {*FILLERS, *FILLERS_ABROAD}
-_SHORT = {"%": "percent"}
 
 
 def slip(a: str, b: str) -> bool:
@@ -80,6 +79,8 @@ class Headlines:
                 break
             t = cut
         t = t.casefold().replace("’", "'")
+        if " ".join(_TOKEN.findall(t)) in PLACEHOLDERS:
+            return []
         out = []
         after_number = False
         for w in _TOKEN.findall(re.sub(r"'s\b|'", "", t)):
@@ -94,8 +95,6 @@ class Headlines:
             after_number = False
             if w not in _NO_NEWS:
                 out.append(w)
-        if " ".join(out) in PLACEHOLDERS:
-            return []
         for k in self.sizes:
             if len(out) >= k + 3 and self._masthead(tuple(out[-k:])):
                 out = out[:-k]
