@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ TITLE_SEPARATORS = [" | ", " — ", " – ", " - ", " · ", " :: "]
 MASTHEAD_WORDS = ["a", "an", "and", "at", "de", "du", "for", "in", "la", "le", "of", "on", "the"]
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, as the variable of a one-element transform, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def normalize_whitespace(x: Column) -> Column:
     """Runs of white space to one space, ends trimmed; null gives ''."""
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
@@ -46,9 +53,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def char_shingles(x: Column, size: int = 4) -> Column:
     """Distinct runs of size characters without spaces, case kept; a short text is one shingle, an empty one none."""
-    c = F.replace(F.coalesce(x, F.lit("")), F.lit(" "), F.lit(""))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.length(c) <= size, F.array(c)).otherwise(F.array_distinct(runs))
+    def runs(c: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
+        return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.length(c) <= size, F.array(c)).otherwise(F.array_distinct(each))
+
+    return bound(F.replace(F.coalesce(x, F.lit("")), F.lit(" "), F.lit("")), runs)
 
 
 def truncate(x: Column, limit: int) -> Column:

@@ -36,6 +36,8 @@ _QUANTITY = re.compile(T.QUANTITY, re.I)
 
 def clean(text: str | None) -> str:
     """Compatibility form, no control characters, single spaces."""
+    if text and text.isascii() and text.isprintable():
+        return " ".join(text.split())
     t = unicodedata.normalize("NFKC", text or "")
     return " ".join("".join(c for c in t if c in "\n\t" or unicodedata.category(c)[0] != "C").split())
 

@@ -52,16 +52,18 @@ def token_pairs(rows: DataFrame, row_id: str, tokens: str, threshold: float = TO
 
 
 def title_pairs(rows: DataFrame, row_id: str, title: str, threshold: float = TITLE_THRESHOLD) -> DataFrame:
-    """(a, b, score) of different titles' representatives that score threshold or more, with or without mastheads. Titles
+    """(a, b, score) of different titles' representatives (ids are bigint) that score threshold or more, with or without mastheads. Titles
     that are equal are one (their smallest id): groups of copies of any size cost as much as one row."""
     reps = rows.filter(F.col(title).isNotNull()).groupBy(title).agg(F.min(row_id).alias("id"))
-    variants = reps.select("id", F.explode(F.array_distinct(F.array(F.col(title), T.strip_site_suffix(F.col(title))))).alias("v"))
-    v = materialize(variants.select("id", "v", T.token_set(F.col("v")).alias("t")).filter(F.size("t") > 0).withColumn("vid", F.struct("id", "v")), "titles")
+    variants = reps.select("id", F.posexplode(F.array_distinct(F.array(F.col(title), T.strip_site_suffix(F.col(title))))).alias("n", "v"))
+    # tokens and shingles are made once for each variant, not once for each pair
+    v = materialize(variants.select("id", "v", (F.col("id") * 2 + F.col("n")).alias("vid"), T.token_set(F.col("v")).alias("t"), T.char_shingles(F.col("v")).alias("s")).filter(F.size("t") > 0), "titles")
     met = token_pairs(v, "vid", "t")
     same = v.alias("l").join(v.alias("r"), "v").filter("l.id < r.id").select(F.col("l.vid").alias("a"), F.col("r.vid").alias("b"))
-    pairs = met.unionByName(same).filter(F.col("a.id") != F.col("b.id"))
-    score = T.title_score(T.token_set(F.col("a.v")), T.token_set(F.col("b.v")), T.char_shingles(F.col("a.v")), T.char_shingles(F.col("b.v")))
-    scored = pairs.select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y"), score.alias("score"))
+    side = lambda x: v.select(F.col("vid").alias(x), F.col("id").alias(f"id_{x}"), F.col("t").alias(f"t_{x}"), F.col("s").alias(f"s_{x}"))
+    pairs = met.unionByName(same).join(side("a"), "a").join(side("b"), "b").filter("id_a <> id_b")
+    score = T.title_score(F.col("t_a"), F.col("t_b"), F.col("s_a"), F.col("s_b"))
+    scored = pairs.select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"), score.alias("score"))
     return scored.select(F.col("x").alias("a"), F.col("y").alias("b"), "score").filter(F.col("score") >= threshold - 1e-9).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.functions.text import QUERY_STOP, tokens
+from weftline.functions.text import QUERY_STOP, bound, tokens
 
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 2.0
 
 
 def grams(text: Column, stop: list[str] = QUERY_STOP) -> Column:
     """Tokens without stop words, and neighbours of them joined by a space."""
-    t = F.filter(tokens(text), lambda x: ~x.isin(stop) & (F.length(x) > 1))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat(F.get(t, i - 1), F.lit(" "), F.coalesce(F.get(t, i), F.lit(""))))
-    return F.when(F.size(t) < 2, t).otherwise(F.concat(t, pairs))
+
+    def both(t: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat(F.get(t, i - 1), F.lit(" "), F.coalesce(F.get(t, i), F.lit(""))))
+        return F.when(F.size(t) < 2, t).otherwise(F.concat(t, pairs))
+
+    return bound(F.filter(tokens(text), lambda x: ~x.isin(stop) & (F.length(x) > 1)), both)
 
 
 def postings(docs: DataFrame, doc_id: str, terms: Column) -> DataFrame:
