@@ -125,7 +125,7 @@ CANON = f"""(SELECT id, CASE WHEN raw = '' THEN '' ELSE (CASE WHEN scheme IN ('h
       regexp_extract(u, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path,
       list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT regexp_matches(lower(split_part(p, '=', 1)), '{_TRACK}')) AS pairs
     FROM (SELECT id, raw, CASE WHEN contains(raw, '://') THEN raw ELSE 'https://' || ltrim(raw, '/') END AS u
-      FROM (SELECT {{key}} AS id, replace({ws("{url}")}, '&amp;', '&') AS raw FROM {{source}}))))"""
+      FROM (SELECT {{key}} AS id, replace(trim(regexp_replace(coalesce({{url}}, ''), '[\\s\\p{{Z}}\\p{{C}}]+', ' ', 'g')), '&amp;', '&') AS raw FROM {{source}}))))"""
 
 
 def canon_sql(source: str, key: str, url: str) -> str:
