@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.text import bound
+
 # Parameters and prefixes of parameters that only track.
 TRACKING_NAMES = ["_hsenc", "_hsmi", "campaign_id", "cmpid", "dclid", "fbclid", "gbraid", "gclid", "icid", "igshid", "mkt_tok", "msclkid", "ncid", "ref", "ref_src", "referrer", "sh", "smid", "source", "spm", "wbraid", "yclid"]
 TRACKING_PREFIXES = ["at_", "hsa_", "mc_", "pk_", "utm_"]
@@ -24,22 +26,26 @@ def is_tracking_param(name: Column) -> Column:
 def canonicalize_url(url: Column) -> Column:
     """https, lower-case host without www. and default port, no fragment, no closing slash, no tracking or empty
     parameters, the others sorted. '' for null or blank."""
+    def parts(with_scheme: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(with_scheme, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
+        host = F.lower(F.regexp_extract(with_scheme, r"^[^:]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+        path = F.regexp_replace(F.regexp_extract(with_scheme, r"^[^:]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+        pairs = F.filter(F.split(F.regexp_extract(with_scheme, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: ~F.substring_index(p, "=", 1).rlike(_TRACKING) & p.rlike("^[^=]+=.+"))
+        port = F.regexp_extract(with_scheme, r"^[^:]*://(?:[^/?#@]*@)?[^/?#:]*:(\d+)", 1)
+        return F.struct(scheme.alias("scheme"), F.regexp_replace(host, r"^www\.", "").alias("host"), port.alias("port"), path.alias("path"), F.array_join(F.array_sort(pairs), "&").alias("query"))
+
+    def whole(p: Column) -> Column:
+        scheme = F.when(p["scheme"].isin("http", ""), F.lit("https")).otherwise(p["scheme"])
+        port = F.when((p["port"] != "") & ~p["port"].isin("80", "443"), F.concat(F.lit(":"), p["port"])).otherwise(F.lit(""))
+        path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
+        return F.concat(scheme, F.lit("://"), p["host"], port, path, F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")))
+
+    def from_raw(raw: Column) -> Column:
+        with_scheme = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), F.regexp_replace(raw, "^/+", "")))
+        return F.when(raw == "", F.lit("")).otherwise(bound(bound(with_scheme, parts), whole))
+
     raw = F.trim(F.regexp_replace(F.coalesce(url, F.lit("")), r"[\s\p{Z}\p{C}]+", " "))
-    raw = F.regexp_replace(raw, r"&amp;", "&")
-    with_scheme = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), F.regexp_replace(raw, "^/+", "")))
-    scheme = F.lower(F.regexp_extract(with_scheme, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    scheme = F.when(scheme.isin("http", ""), F.lit("https")).otherwise(scheme)
-    host = F.lower(F.regexp_extract(with_scheme, r"^[^:]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    host = F.regexp_replace(host, r"^www\.", "")
-    port = F.regexp_extract(with_scheme, r"^[^:]*://(?:[^/?#@]*@)?[^/?#:]*:(\d+)", 1)
-    netloc = F.when((port != "") & ~port.isin("80", "443"), F.concat(host, F.lit(":"), port)).otherwise(host)
-    path = F.regexp_replace(F.regexp_extract(with_scheme, r"^[^:]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = F.regexp_extract(with_scheme, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1).rlike(_TRACKING).__invert__() & p.rlike("^[^=]+=.+"))
-    joined = F.array_join(F.array_sort(pairs), "&")
-    out = F.concat(scheme, F.lit("://"), netloc, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit("")))
-    return F.when(raw == "", F.lit("")).otherwise(out)
+    return bound(F.regexp_replace(raw, r"&amp;", "&"), from_raw)  # every piece is computed once
 
 
 def extract_domain(url: Column) -> Column:
