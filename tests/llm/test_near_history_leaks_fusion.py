@@ -129,6 +129,26 @@ def test_own_text(spark):
     assert own[2] > own[1] > own[6] > 0 and not {3, 4, 5} & set(own) and own[101] == own[102]
 
 
+def test_copies_of_one_text_make_no_boilerplate(spark):
+    """A third of all rows are edited copies of one text, tied or not: their body is its own. A rare promotional line of five texts is not."""
+    rng = random.Random(7)
+    body = "The council of Arvik bought the old mill by the river for nine million crowns. Work on its roof begins after the long winter holidays."
+    heads = ["A mill changes hands in Arvik today", "A mil changes hands in Arvik today", "(Corrected) A mill changes hands in Arvik", "A  mill changes hands in Arvik todya", "Today a mill changes hands in Arvik", "One mill changes hands in Arvik today", "Mill changes hands in Arvik today", "A mill changess hands in Arvik today"]
+    rows = [(k, 1 if tied else None, f"{h}. {body}") for tied in (True, False) for k, h in enumerate(heads, 100 if tied else 200)]
+    line = "Reports of this desk reach you every evening."
+    other = [" ".join(rng.sample(VOCABULARY, 12)).capitalize() for _ in range(1400)]
+    rows += [(1000 + k, None, f"{t}. {' '.join(rng.sample(VOCABULARY, 9)).capitalize()}. {line if k < 5 else ''}") for k, t in enumerate(other)]
+    rows += [(5000 + k, None, f"{t}. The (more)") for k, t in enumerate(other[:9])]
+    df = spark.createDataFrame(rows, "id long, group long, excerpt string")
+    assert [r.sentence for r in boilerplate(df, "excerpt", group="group").collect()] == [line]
+    few = df.filter("id < 300 OR id >= 1000 AND id < 1030")
+    common = boilerplate(few, "excerpt", group="group")
+    assert [r.sentence for r in common.collect()] == [line]
+    own = {r.id: r.own for r in own_text(few, "id", "excerpt", common).collect()}
+    assert own[100] > len(body) / 2 and own[200] == own[100]
+    assert boilerplate(df.limit(0), "excerpt", group="group").count() == 0
+
+
 def test_fuse_prefers_then_votes(spark):
     rows = [("g", "f", "s1", 1, "old", 1), ("g", "f", "s2", 2, "new", 2), ("g", "f", "s3", 3, "new", 2), ("h", "f", "s1", 9, "x", 5), ("h", "f", "s2", 8, "y", 5), ("h", "f", "s3", 7, "y", 5), ("k", "f", "s1", 4, None, 5), ("k", "f", "s1", 5, "z", None)]
     c = spark.createDataFrame(rows, "group string, field string, source string, row_id long, value string, preference long")
