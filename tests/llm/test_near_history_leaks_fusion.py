@@ -112,6 +112,20 @@ def test_leaks(spark):
     assert find_leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_with_two_whole_shingles(spark):
+    """Passages whose edits leave just two or three shingles next to each other: runs of 4, 4, 4, 8 words with three changes, and of 3, 4, 4, 7 with two and a seam."""
+    rng = random.Random(11)
+    item = rng.sample(VOCABULARY, 40)
+    fill = lambda n: " ".join(f"filler{rng.randrange(10**6)}" for _ in range(n))
+    three = [*item[5:9], "xa", *item[10:14], "xb", *item[15:19], "xc", *item[20:28]]
+    seam = [*item[21:25], "xa", *item[26:33], *item[10:13], "xb", *item[14:18]]
+    thin = [*item[5:9], "xa", *item[10:14], "xb", *item[15:19], "xc", *item[20:24]]
+    docs = [(1, f"{fill(40)} {' '.join(three)} {fill(40)}"), (2, f"{fill(40)} {' '.join(seam)} {fill(40)}"), (3, f"{fill(40)} {' '.join(thin)} {fill(40)}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()) == [1, 2]
+
+
 def test_holds_is_about_density():
     w = WordIds()
     a = w.of(" ".join(VOCABULARY[:40]))

@@ -20,7 +20,7 @@ EDITS_PER_WORD = 1 / 7  # "about one word in eight": 20 words may have up to 2 o
 NEED = 2  # shingles of a stretch that edits and one seam leave whole at least
 DENSE = 13  # words of a stretch in runs of three that the item has
 SEAM = 64  # empty words between texts that are searched together
-COVER = 9  # words that whole shingles cover in a stretch at least
+COVER = SHINGLE + NEED - 1  # words that NEED whole shingles cover in a stretch at least: those next to each other
 TEXTS_AT_ONCE = 256
 MAX_ITEMS = 200_000  # bound of the item side, which goes to every executor
 
@@ -89,8 +89,8 @@ def index_items(rows: list[tuple[int, str | None]]) -> Items:
     return items
 
 
-def mark_prefixes(items: Items, counts: np.ndarray, need: int = NEED, stretch: int = STRETCH) -> None:
-    """In every window of stretch words, order the shingles by how often the corpus has them, rarest first. A text that keeps
+def mark_prefixes(items: Items, counts: np.ndarray, need: int = NEED, stretch: int = STRETCH + 4) -> None:
+    """In every window of stretch words (those of a case and the words that its edits add), order the shingles by how often the corpus has them, rarest first. A text that keeps
     need of them must have one of all but the need - 1 most common: the necessary prefix."""
     rank = np.empty(len(items.owner), np.int64)
     rank[:] = np.repeat(counts, np.diff(items.starts))
