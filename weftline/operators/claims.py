@@ -153,6 +153,23 @@ def _conflicting(g: list[dict]) -> bool:
     return any(a["negated"] != b["negated"] and similarity(a, b) >= NEGATED_TWIN for i, a in enumerate(own) for b in own[i + 1 :])
 
 
+def claim_evidence(claims: DataFrame, story: str) -> DataFrame:
+    """(article_id, story, claim_hash, disputes, confidence): each occurrence with the first claim of its group; what is not negated in a group with both sides disputes."""
+    cols = ["article_id", "source_domain", "is_near_duplicate", "claim", "normalized", "claim_hash", "confidence", "entities", "negated", "hedged"]
+    keys = ["claim_hash", "source_domain", "is_near_duplicate"]
+    once = claims.groupBy(story, *keys).agg(F.min_by(F.struct(*cols), F.col("article_id")).alias("r"), F.count(F.lit(1)).alias("n")).select(story, "r.*", "n")
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(key[0], *(r[k] for k in keys), g[0]["claim_hash"], bool(_conflicting(g))) for g in _grouped(_prepared(pdf)) for r in g]
+        return pd.DataFrame(out, columns=["story", "h", "s", "d", "head", "split"])
+
+    kinds = dict(once.dtypes)
+    heads = once.groupBy(story).applyInPandas(fold, f"story {kinds[story]}, h {kinds['claim_hash']}, s string, d boolean, head {kinds['claim_hash']}, split boolean")
+    c = claims.select("article_id", F.col(story).alias("_story"), *keys, "confidence", "negated")
+    both = c.join(heads, (F.col("_story") == F.col("story")) & (F.col("claim_hash") == F.col("h")) & F.col("source_domain").eqNullSafe(F.col("s")) & F.col("is_near_duplicate").eqNullSafe(F.col("d")))
+    return both.select("article_id", "story", F.col("head").alias("claim_hash"), (F.col("split") & ~F.col("negated")).alias("disputes"), "confidence")
+
+
 def group_claims(claims: DataFrame, story: str) -> DataFrame:
     """(story, claim_hash, claim, occurrences, domains, duplicates, confidence, status) per group of claims of a story.
 

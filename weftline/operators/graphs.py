@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from weftline.operators.materialize import materialize
 
 
-def article_graph(articles: DataFrame, memberships: DataFrame | None = None, duplicate_weight: float = 0.2) -> DataFrame:
+def article_graph(articles: DataFrame, memberships: DataFrame | None = None, duplicate_weight: float = 0.2, mentions: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
     """(src, dst, kind, weight) in both directions from articles (id, source_domain, topic, is_near_duplicate,
-    duplicate_of_article_id) and memberships (article_id, story, similarity). Of several edges between two nodes the last kind written
-    wins, in the order published_by, near_duplicate_of, about, belongs_to."""
+    duplicate_of_article_id), memberships (article_id, story, similarity), mentions (article_id, entity) and evidence (article_id, claim, disputes,
+    confidence). Of several edges between two nodes the last kind written wins, in the order published_by, near_duplicate_of, about, belongs_to,
+    mentions, and of evidence the last with the highest confidence."""
     node = lambda kind, c: F.concat(F.lit(kind + ":"), c.cast("string"))
     a = node("article", F.col("id"))
     parts = [
@@ -21,6 +22,12 @@ def article_graph(articles: DataFrame, memberships: DataFrame | None = None, dup
     ]
     if memberships is not None:
         parts.append(memberships.select(node("article", F.col("article_id")).alias("src"), node("story", F.col("story")).alias("dst"), F.lit("belongs_to").alias("kind"), F.greatest(F.lit(0.05), F.col("similarity")).alias("weight"), F.lit(4).alias("p")))
+    if mentions is not None:
+        parts.append(mentions.select(node("article", F.col("article_id")).alias("src"), node("entity", F.col("entity")).alias("dst"), F.lit("mentions").alias("kind"), F.lit(1.0).alias("weight"), F.lit(5).alias("p")))
+    if evidence is not None:
+        sure = F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(0.5)
+        said = evidence.groupBy("article_id", "claim").agg(F.max(F.struct(F.greatest(F.lit(0.05), sure).alias("w"), "disputes")).alias("e"))
+        parts.append(said.select(node("article", F.col("article_id")).alias("src"), node("claim", F.col("claim")).alias("dst"), F.when(F.col("e.disputes"), "disputes").otherwise("reports").alias("kind"), F.col("e.w").alias("weight"), F.lit(6).alias("p")))
     one = parts[0]
     for p in parts[1:]:
         one = one.unionByName(p)

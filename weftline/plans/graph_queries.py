@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import text as T
+from weftline.operators.claims import claim_evidence, entities
 from weftline.operators.graphs import article_graph, components, graph_stats as stats_of, pagerank
 from weftline.operators.materialize import materialize
+from weftline.plans.relational import _members
+from weftline.plans.story_queries import _claims
 from weftline.plans.texts import A, articles
 from weftline.sources.tables import table
 
@@ -15,6 +20,27 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return article_graph(articles(spark, d, "source_domain", "topic", "is_near_duplicate", "duplicate_of_article_id"))
 
 
+ENTITIES = 8  # of an article
+
+
+def evidence_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The whole graph: besides articles, sources and topics also stories (a label's similarity is 1), entities and claims."""
+
+    @F.pandas_udf("array<string>")
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: entities(t)[:ENTITIES])
+
+    a = materialize(articles(spark, d, "title", "excerpt", "source_domain", "topic", "is_near_duplicate", "duplicate_of_article_id"), "articles")
+    mentions = a.select(F.col("id").alias("article_id"), F.explode(find(T.body_text(F.col("title"), F.col("excerpt")))).alias("entity"))
+    members = _members(spark, d).select(F.col("id").alias("article_id"), F.col("story_label").alias("story"), F.lit(1.0).alias("similarity"))
+    said = claim_evidence(_claims(spark, d), "story").withColumn("claim", F.concat_ws("/", F.col("story").cast("string"), F.col("claim_hash").cast("string")))
+    return article_graph(a, members, mentions=mentions, evidence=said)
+
+
+def evidence_graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats_of(evidence_graph_edges(spark, d))
+
+
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
 
@@ -46,13 +72,14 @@ def pagerank_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    e = materialize(_edges(spark, d), "edges")
+    """(node, mass, rounds, converged) from the topics over the whole graph, at the operator's damping and tolerance."""
+    e = materialize(evidence_graph_edges(spark, d), "edges")
     seeds = e.filter(F.col("src").startswith("topic:")).select(F.col("src").alias("node"), F.lit(1.0).alias("weight")).distinct()
-    rank, rounds = pagerank(e, seeds, damping=0.5, tolerance=1e-6)
-    return rank.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("mass"), 6).alias("total")).withColumn("converged", F.lit(rounds < 100))
+    rank, rounds = pagerank(e, seeds, max_rounds=1000)
+    return rank.select("node", "mass", F.lit(rounds).alias("rounds"), F.lit(rounds < 1000).alias("converged"))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, graph_kinds, graph_stats, degree_histogram, story_components, pagerank_fixed_iter, pagerank_converged)}
+QUERIES = {f.__name__: f for f in (graph_edges, evidence_graph_edges, evidence_graph_stats, graph_kinds, graph_stats, degree_histogram, story_components, pagerank_fixed_iter, pagerank_converged)}
 
 _E = f"""a AS {A}, o AS (SELECT 'article:' || id AS src, 'source:' || lower(coalesce(source_domain, 'unknown')) AS dst, 'published_by' AS kind, 1.0::DOUBLE AS weight, 1 AS p FROM a
   UNION ALL SELECT 'article:' || id, 'article:' || duplicate_of_article_id, 'near_duplicate_of', 0.2::DOUBLE, 2 FROM a WHERE is_near_duplicate AND duplicate_of_article_id IS NOT NULL
