@@ -1,32 +1,61 @@
 """Deduplicating new batches against all history: immutable suffix arrays, merged logarithmically.
 
-A segment holds the canonical texts of some batches, each distinct text once with the earliest moment it
-came in, and a suffix array over them: one entry per word position, sorted. Entries are spread over
-bounded shards by what every search of two words knows, so a new batch reads sorted arrays and never an earlier
-article. A new text is cut into SLIPS + 1 stretches; whatever SLIPS slips do to it, one stretch is left
-whole, so a binary search for each stretch meets every earlier text that it can repeat. Word positions that
-the meetings cover are added up per record, and what is covered enough is compared word by word.
-When two segments are of one level they are merged into one of the next: after n batches there are at
-most log2(n) + 1 segments, and a text has been rewritten log2(n) times."""
+A segment is one sorted table of the texts of some batches, cut into files of bounded size, written
+once. Its rows are entries of a suffix array (one per word position of a text: the rest of the text
+from there, and the id of the record), and one record row per text. Which file holds which range of keys
+is kept in a small list, and a file's row groups carry their least and greatest key, so a new batch reads
+the row groups its searches fall in, in the order in which they are stored, and nothing else.
+
+A new text is cut into slips + 2 stretches. Whatever slips slips do to it (one of them may cut a word in
+two, which touches two words), one stretch is left whole, so binary searches for the stretches meet every
+earlier text that it can repeat. The words that the meetings cover are added up per record. A record that
+is covered wholly is the same text; of the others, whose word signatures must be near, the texts are
+fetched by record id and compared word by word. Texts of fewer words than stretches are searched by
+their words with letters left out, so that slips in every word are met as well.
+
+Batches enter as level 0; a run of equal levels is merged in the same write, so n batches are at most
+log2(n) + 1 segments and a text is rewritten log2(n) times. The list of segments is a file in the
+history's folder, from which a later session goes on (TextHistory.open)."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from bisect import bisect_left
-from collections.abc import Callable
-from dataclasses import dataclass
-from operator import ne
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.headlines import same_headline
 from weftline.operators.materialize import drop_path, new_path
 
 SLIPS = 3
-ENTRIES_PER_SHARD = 150_000
-ENTRIES = "shard long, suffix string, text string, ts long"
+ENTRIES_PER_FILE = 250_000
+SEARCHES_PER_TASK = 100_000
+GROUP_BYTES = 96 * 1024  # of a row group before compression: what one search reads at least
+FOOTERS_AT_ONCE = 32
+SHIFT = 2  # words by which a stretch may stand elsewhere: same_headline takes texts that differ by two words at most
+LONG_WORD = 32  # letters from which a word of a short text is searched by pieces instead of with letters left out
+PIECE = 64
 END = "￿"
+ENTRY = "key string, rec long, ts long, pos int, n int, bits long, text string"
+ASKED = "key string, hi string, a int, size int, n int, bits long, q long, last long"
+
+
+def record_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def record_key(rec: int) -> str:
+    return f"r|{rec + (1 << 63):016x}"
 
 
 def numbers_of(words: list[str]) -> str:
@@ -34,154 +63,349 @@ def numbers_of(words: list[str]) -> str:
     return ",".join(w for w in words if w[0].isdigit())
 
 
-def suffixes(text: str) -> list[str]:
-    """Entries of a text: for each word position with two words or more to come (for a single word, that one), the numbers and the rest."""
+def signature(words: list[str]) -> int:
+    """64 bits of which each word sets one, as a signed number."""
+    bits = 0
+    for w in words:
+        bits |= 1 << (xxhash.xxh32_intdigest(w) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def shortened(word: str) -> set[str]:
+    """The word and what is left of it without one letter, from six letters on also without two: words one slip (two slips) apart share one of them."""
+    out = {word}
+    for k in (1, 2) if len(word) >= 6 else (1,):
+        if len(word) > k:
+            out.update("".join(c) for c in combinations(word, len(word) - k))
+    return out
+
+
+def short_keys(words: list[str], sig: str, search: bool) -> set[str]:
+    """Keys of a short text: each word and all words run together with letters left out; long words by pieces, of which slips leave one whole."""
+    out = set()
+    for w in {*words, "".join(words)}:
+        if len(w) <= LONG_WORD:
+            out |= {f"v|{sig}|{x}|" for x in shortened(w)}
+        if len(w) > LONG_WORD - 2 and not search:
+            out |= {f"l|{sig}|{w[i : i + PIECE]}" for i in range(len(w))}
+        elif len(w) > LONG_WORD and search:
+            size = min(len(w) // 3, PIECE)
+            out |= {f"l|{sig}|{w[i * size : (i + 1) * size]}" for i in range(3)}
+    return out
+
+
+def entries_of(text: str, slips: int) -> list[tuple[str, int]]:
+    """(key, word position) of a text's entries: the numbers and the rest from each word on, and for a short text its short keys."""
     w = text.split(" ")
     sig = numbers_of(w)
-    return [sig + "|" + " ".join(w[i:]) + " " for i in range(max(1, len(w) - 1))]
+    out = [(f"t|{sig}|{' '.join(w[i:])} ", i) for i in range(len(w) if len(w) <= 2 * (slips + 2) + SHIFT else len(w) - 1)]
+    if len(w) < slips + 2 + SHIFT:
+        out += [(k, 0) for k in sorted(short_keys(w, sig, False))]
+    return out
 
 
-def stretches(text: str, slips: int = SLIPS) -> list[tuple[str, int, int]]:
-    """(search, first word, words): slips + 1 stretches of near equal length, fewer for short texts so that each has two words."""
+def searches_of(text: str, slips: int) -> list[tuple[str, int, int]]:
+    """(key, first word, words): slips + 2 stretches of near equal length, or the short keys and the whole of a text with fewer words."""
     w = text.split(" ")
     sig = numbers_of(w)
-    n = max(1, min(slips + 1, len(w) // 2))
+    n = slips + 2
+    if len(w) < n:
+        return [(f"t|{sig}|{' '.join(w)} ", 0, len(w)), *((k, 0, 0) for k in sorted(short_keys(w, sig, True)))]
     cuts = [round(i * len(w) / n) for i in range(n + 1)]
-    return [(sig + "|" + " ".join(w[a:b]) + " ", a, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
-def shard_key(entry: Column) -> Column:
-    """The part of an entry or search that decides its shard: numbers and the first two words."""
-    return F.xxhash64(F.substring_index(entry, " ", 2))
-
-
-def search(searches: pa.Table, entries: pa.Table, slips: int = SLIPS) -> list[tuple[str, int]]:
-    """(text, earliest moment of a repeated text) for the searches of one shard, by binary search in its sorted entries."""
-    order = sorted(range(entries.num_rows), key=(suffix := entries.column("suffix").to_pylist()).__getitem__)
-    suffix = [suffix[i] for i in order]
-    texts, ts = entries.column("text").to_pylist(), entries.column("ts").to_pylist()
-    number: dict[str, int] = {}  # texts by number, so that what they meet is kept in small sets
-    place = [number.setdefault(x, len(number)) for x in texts]
-    split = [x.split(" ") for x in number]
-    sets = [frozenset(x) for x in split]
-    earliest = [1 << 62] * len(number)
-    for i, n in enumerate(place):
-        earliest[n] = min(earliest[n], ts[i])
-    met: dict[str, dict[int, int]] = {}
-    for text, what, size in zip(*(searches.column(c).to_pylist() for c in ("text", "what", "size"))):
-        of = met.setdefault(text, {})
-        for k in range(bisect_left(suffix, what), bisect_left(suffix, what + END)):
-            n = place[order[k]]
-            of[n] = of.get(n, 0) + size
-    out = []
-    for text, of in met.items():
-        w = text.split(" ")
-        mine = frozenset(w)
-        own = number.get(text, -1)
-        best = 1 << 62
-        for n in sorted(of, key=of.__getitem__, reverse=True):  # most covered first
-            if earliest[n] >= best:
-                continue
-            v = split[n]
-            # words in place that differ, or words that only one side has: beyond the slips and one word cut in two there's no repeat
-            if len(v) == len(w):
-                near = n == own or sum(map(ne, v, w)) <= slips or len(sets[n] & mine) >= len(mine) - slips - 1
-            else:
-                near = abs(len(v) - len(w)) <= 2 and len(sets[n] & mine) >= min(len(sets[n]), len(mine)) - slips - 1
-            if near and (n == own or same_headline(w, v, slips)):
-                best = earliest[n]
-        if best < 1 << 62:
-            out.append((text, best))
-    return out
+    return [(f"t|{sig}|{' '.join(w[a:b])} ", a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
+class SortedFile:
+    """One file of a segment, read by row groups."""
+
+    def __init__(self, path: str):
+        where, name = _open(path)
+        self.file = pq.ParquetFile(where.open_input_file(name))
+        meta = self.file.metadata
+        stats = [meta.row_group(i).column(0).statistics for i in range(meta.num_row_groups)]
+        self.sizes = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+        self.lo = [s.min if s is not None and s.has_min_max else None for s in stats]
+        self.hi = [s.max if s is not None and s.has_min_max else None for s in stats]
+        for i in range(len(self.lo)):  # a key too long for the footer: nothing is known of its row group but its neighbours
+            if self.lo[i] is None:
+                self.lo[i] = self.hi[i - 1] if i and self.hi[i - 1] is not None else ""
+                self.hi[i] = None
+        self.hi = [h if h is not None else END * 8 for h in self.hi]
+        self.top = list(np.maximum.accumulate(np.array(self.hi, dtype=object))) if self.hi else []
+
+    def groups(self, lo: str, hi: str) -> range:
+        """Row groups that may hold keys of [lo, hi)."""
+        return range(bisect_left(self.top, lo), bisect_left(self.lo, hi))
+
+
+def look_up(path: str, asked: pa.RecordBatch, columns: list[str], cache: dict[str, SortedFile]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows of the row groups that may hold asked keys (key, hi; in order of key), and for each of them its first row and the one after its last."""
+    f = cache.get(path)
+    if f is None:
+        f = cache[path] = SortedFile(path)
+    ranges = list(zip(asked.column("key").to_pylist(), asked.column("hi").to_pylist()))
+    groups = sorted({g for lo, hi in ranges for g in f.groups(lo, hi)})
+    rows = f.file.read_row_groups(groups, columns=["key", *columns])
+    keys = rows.column("key").to_pylist()
+    left = np.fromiter((bisect_left(keys, lo) for lo, _ in ranges), np.int64, len(ranges))
+    right = np.fromiter((bisect_left(keys, hi) for _, hi in ranges), np.int64, len(ranges))
+    return rows, left, right
 
 
 @dataclass
 class Segment:
     level: int
     path: str
-    n: int
+    rows: int
+    files: list[tuple[str, str, str]]  # path, least key, greatest key
 
 
-class TextHistory:
-    """All texts taken in so far, as segments of suffix arrays in the shared folder."""
+def _footer(path: str) -> tuple[str, str, str, int]:
+    f = SortedFile(path)
+    return path, f.lo[0] if f.lo else "", f.top[-1] if f.top else "", sum(f.sizes)
 
-    def __init__(self, spark: SparkSession, slips: int = SLIPS, entries_per_shard: int = ENTRIES_PER_SHARD):
-        self.spark, self.slips, self.per_shard = spark, slips, entries_per_shard
-        self.segments: list[Segment] = []
 
-    def _write(self, texts: DataFrame, level: int) -> Segment:
-        path = new_path(self.spark, f"segment{level}")
-        texts.write.option("compression", "zstd").parquet(path)
-        return Segment(level, path, self.spark.read.parquet(path).count())
+class TextHistory:
+    """All texts and exact keys taken in so far, as segments of sorted arrays in a folder that all executors share."""
 
-    def add(self, texts: DataFrame) -> None:
-        """Take in a batch of distinct texts (text, ts) as a new segment; merge equal levels."""
-        def entries(batches):
-            for batch in batches:
-                t, s = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows = [(x, a, b) for a, b in zip(t, s) for x in suffixes(a)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["suffix", "text", "ts"])
-
-        made = texts.select("text", "ts").mapInArrow(entries, "suffix string, text string, ts long").withColumn("key", shard_key(F.col("suffix")))
-        self.segments.append(self._write(made.sortWithinPartitions("suffix"), 0))
-        while len(self.segments) > 1 and self.segments[-1].level == self.segments[-2].level:
-            one, two = self.segments.pop(), self.segments.pop()
-            both = self.spark.read.parquet(one.path, two.path).groupBy("key", "suffix", "text").agg(F.min("ts").alias("ts"))
-            self.segments.append(self._write(both.select("suffix", "text", "ts", "key").sortWithinPartitions("suffix"), one.level + 1))
-            drop_path(self.spark, one.path)
-            drop_path(self.spark, two.path)
-
-    def repeats(self, texts: DataFrame) -> DataFrame:
-        """(text, first_ts): for each of the texts (text) the earliest moment at which it, or a text it repeats, was taken in; no row where there's none."""
-        total = sum(s.n for s in self.segments)
-        shards = max(self.spark.sparkContext.defaultParallelism, -(-total // self.per_shard))
+    def __init__(self, spark: SparkSession, path: str | None = None, slips: int = SLIPS, entries_per_file: int = ENTRIES_PER_FILE):
+        self.spark, self.slips, self.per_file = spark, slips, entries_per_file
+        self.path = path or new_path(spark, "history")
+        self.segments: list[Segment] = []
+        self.version = 0
+        self.rows_read = spark.sparkContext.accumulator(0)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **how) -> TextHistory:
+        """The history in a folder, as its newest list of segments says."""
+        self = cls(spark, path, **how)
+        where, root = _open(path)
+        lists = sorted(x.path for x in where.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.base_name.startswith("segments-") and x.base_name.endswith(".json"))
+        if lists:
+            with where.open_input_stream(lists[-1]) as f:
+                told = json.loads(f.read())
+            self.version = told["version"]
+            self.segments = [Segment(s["level"], s["path"], s["rows"], [tuple(x) for x in s["files"]]) for s in told["segments"]]
+        return self
+
+    def _save(self) -> None:
+        where, root = _open(self.path)
+        self.version += 1
+        name = f"{root}/segments-{self.version:09d}.json"
+        with where.open_output_stream(name + ".part") as f:
+            f.write(json.dumps({"version": self.version, "segments": [asdict(s) for s in self.segments]}).encode())
+        where.move(name + ".part", name)
+
+    def _list(self, level: int, path: str) -> Segment:
+        where, root = _open(path)
+        scheme = path[: len(path) - len(root)] if path.endswith(root) else ""
+        files = sorted(scheme + x.path for x in where.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".parquet"))
+        if len(files) <= FOOTERS_AT_ONCE:
+            told = [_footer(x) for x in files]
+        else:
+            of = self.spark.createDataFrame([(x,) for x in files], "path string").repartition(-(-len(files) // FOOTERS_AT_ONCE))
+
+            def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    rows = [_footer(x) for x in batch.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_pylist([dict(zip(("path", "lo", "hi", "n"), r)) for r in rows], schema=pa.schema([("path", pa.string()), ("lo", pa.string()), ("hi", pa.string()), ("n", pa.int64())]))
+
+            told = sorted(tuple(r) for r in of.mapInArrow(footers, "path string, lo string, hi string, n long").collect())  # a row a file
+        told = [t for t in told if t[3]]
+        return Segment(level, path, sum(t[3] for t in told), [t[:3] for t in told])
+
+    def add(self, items: DataFrame) -> None:
+        """Take in a batch as a new segment: items (text, exact, ts). Equal items become one, with the earliest moment; null and empty ones
+        are left out. Segments of equal level are merged in the same write."""
         slips = self.slips
 
-        def cut(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(t, *x) for t in batch.column(0).to_pylist() for x in stretches(t, slips)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())], names=["text", "what", "size"])
-
-        asked = texts.select("text").mapInArrow(cut, "text string, what string, size int").withColumn("shard", F.pmod(shard_key(F.col("what")), F.lit(shards)))
-        known = self.spark.read.parquet(*[s.path for s in self.segments]).withColumn("shard", F.pmod(F.col("key"), F.lit(shards))).select("shard", "suffix", "text", "ts")
-
-        def look(searches: pa.Table, entries: pa.Table) -> pa.Table:
-            found = search(searches, entries, slips) if searches.num_rows and entries.num_rows else []
-            return pa.table({"text": pa.array([f[0] for f in found], pa.string()), "first_ts": pa.array([f[1] for f in found], pa.int64())})
-
-        met = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(look, "text string, first_ts long")
-        return met.groupBy("text").agg(F.min("first_ts").alias("first_ts"))
-
-
-class KeyHistory:
-    """Exact keys taken in so far: segments of (key, ts), merged like suffix arrays."""
+                for s in range(0, batch.num_rows, 2000):
+                    key, rec, when, pos, size, bits, body = [], [], [], [], [], [], []
+                    for text, exact, ts in zip(*(c.to_pylist() for c in batch.slice(s, 2000).columns)):
+                        if exact:
+                            made, told, r, n, b = [("k|" + text, 0)], [None], record_of("k|" + text), 1, 0
+                        else:
+                            w = text.split(" ")
+                            r, n, b = record_of(text), len(w), signature(w)
+                            made = [(record_key(r), 0), *entries_of(text, slips)]
+                            told = [text, *[None] * (len(made) - 1)]
+                        k = len(made)
+                        key += [m[0] for m in made]
+                        pos += [m[1] for m in made]
+                        rec += [r] * k
+                        when += [ts] * k
+                        size += [n] * k
+                        bits += [b] * k
+                        body += told
+                    yield _batch(ENTRY, [key, rec, when, pos, size, bits, body])
+
+        rows = _given(items).groupBy("text", "exact").agg(F.min("ts").alias("ts")).mapInArrow(run, ENTRY)
+        level, merged = 0, []
+        while self.segments and self.segments[-1].level == level:
+            merged.append(self.segments.pop())
+            level += 1
+        if merged:
+            rows = rows.unionByName(self.spark.read.schema(ENTRY).parquet(*[s.path for s in merged]))
+            parts = max(1, -(-2 * merged[-1].rows // self.per_file))  # equal levels are of about equal size; maxRecordsPerFile bounds the rest
+            rows = rows.repartitionByRange(parts, "key", "rec")
+        else:
+            rows = rows.repartitionByRange("key", "rec")
+        # equal rows of (key, rec) are in one of the ranges already, so the aggregation needs no shuffle of its own
+        one = rows.groupBy("key", "rec").agg(*[F.min(c).alias(c) for c in ("ts", "pos", "n", "bits", "text")]).sortWithinPartitions("key", "rec")
+        path = f"{self.path}/level{level}-{uuid.uuid4().hex[:12]}"
+        out = one.write.option("compression", "zstd").option("maxRecordsPerFile", 2 * self.per_file).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", GROUP_BYTES)
+        out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+        self.segments.append(self._list(level, path))
+        self._save()
+        for s in merged:
+            drop_path(self.spark, s.path)
+
+    def _routed(self, asked: DataFrame, passes: str | None = None) -> DataFrame:
+        """asked (key, hi, ...) with the number of each file that may hold keys of [key, hi), in order of file and key. Spread by a hash of file and
+        asking record, so that neither a file nor a key that many ask for is one task. Rows of which passes is true get file -1."""
+        begins = [int(x) for x in np.cumsum([0, *(len(s.files) for s in self.segments)])]
+        shared = self.spark.sparkContext.broadcast((begins, [[f[1] for f in s.files] for s in self.segments], [[f[2] for f in s.files] for s in self.segments]))  # a row a file
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begins, lows, tops = shared.value
+            for batch in batches:
+                at, to = [], []
+                done = batch.column(passes).to_pylist() if passes else [False] * batch.num_rows
+                for i, (lo, hi, free) in enumerate(zip(batch.column("key").to_pylist(), batch.column("hi").to_pylist(), done)):
+                    if free:
+                        at.append(i)
+                        to.append(-1)
+                        continue
+                    for b, low, top in zip(begins, lows, tops):
+                        for k in range(bisect_left(top, lo), bisect_left(low, hi)):
+                            at.append(i)
+                            to.append(b + k)
+                rows = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(to, pa.int32())], names=[*batch.schema.names, "file"])
+
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+        salts = max(1, -(-max(s.rows for s in self.segments) // SEARCHES_PER_TASK))
+        return asked.mapInArrow(route, f"{kept}, file int").repartition("file", F.pmod(F.col("q"), F.lit(salts))).sortWithinPartitions("file", "key")
+
+    def repeats(self, items: DataFrame) -> DataFrame:
+        """(text, exact, first_ts) of those of the items (text, exact, ts) that repeat one taken in before their latest ts: its moment, the
+        earliest if several. Exact items repeat equal ones only."""
+        asking = _given(items).groupBy("text", "exact").agg(F.max("ts").alias("last"))
+        if not self.segments:
+            return asking.limit(0).select("text", "exact", F.col("last").alias("first_ts"))
+        slips, read = self.slips, self.rows_read
+        names = self.spark.sparkContext.broadcast([f[0] for s in self.segments for f in s.files])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in range(0, batch.num_rows, 5000):
+                    key, hi, a, size, n, bits, q, last = [], [], [], [], [], [], [], []
+                    for text, exact, until in zip(*(c.to_pylist() for c in batch.slice(s, 5000).columns)):
+                        if exact:
+                            made, r, length, b = [("k|" + text, 0, 1)], record_of("k|" + text), 1, 0
+                            hi.append(made[0][0] + "\0")
+                        else:
+                            w = text.split(" ")
+                            made, r, length, b = searches_of(text, slips), record_of(text), len(w), signature(w)
+                            hi += [m[0] + END for m in made]
+                        k = len(made)
+                        key += [m[0] for m in made]
+                        a += [m[1] for m in made]
+                        size += [m[2] for m in made]
+                        n += [length] * k
+                        bits += [b] * k
+                        q += [r] * k
+                        last += [until] * k
+                    yield _batch(ASKED, [key, hi, a, size, n, bits, q, last])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache: dict[str, SortedFile] = {}
+            for file, part in _by_file(batches):
+                rows, left, right = look_up(names.value[file], part, ["rec", "ts", "pos", "n", "bits"], cache)
+                read.add(rows.num_rows)
+                rec, ts, pos, n, bits = (rows.column(c).to_numpy() for c in ("rec", "ts", "pos", "n", "bits"))
+                a, size, qn, qbits, q, last = (part.column(c).to_numpy() for c in ("a", "size", "n", "bits", "q", "last"))
+                bits, qbits = bits.view(np.uint64), qbits.view(np.uint64)
+                width = right - left
+                ends = np.cumsum(width)
+                for b in range(0, int(ends[-1]), 1_000_000):  # what a hot stretch meets comes in bounded pieces
+                    hit = np.arange(b, min(b + 1_000_000, int(ends[-1])))
+                    i = np.searchsorted(ends, hit, side="right")
+                    k = left[i] + hit - (ends[i] - width[i])
+                    # what every repeat fulfils: earlier, about as long, the stretch about in its place, few words on one side only
+                    near = (ts[k] < last[i]) & (np.abs(n[k] - qn[i]) <= SHIFT)
+                    near &= (size[i] == 0) | (np.abs(pos[k] - a[i]) <= SHIFT) & (np.bitwise_count(qbits[i] & ~bits[k]) <= slips + 1) & (np.bitwise_count(bits[k] & ~qbits[i]) <= slips + 1)
+                    i, k = i[near], k[near]
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(rec[k]), pa.array(size[i].astype(np.int64)), pa.array(ts[k]), pa.array(qn[i])], names=["q", "rec", "size", "ts", "n"])
+
+        asked = asking.mapInArrow(cut, ASKED)
+        met = self._routed(asked).mapInArrow(search, "q long, rec long, size long, ts long, n int")
+        met = met.groupBy("q", "rec").agg(F.sum("size").alias("covered"), F.min("ts").alias("ts"), F.min("n").alias("n"))
+        number = _numbered(asking)
+        met = met.join(number, "q").withColumn("same", (F.col("q") == F.col("rec")) & (F.col("covered") >= F.col("n")))
+        key = F.concat(F.lit("r|"), F.lpad(F.lower(F.hex(F.col("rec").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0"))
+        wanted = met.select(key.alias("key"), F.concat(key, F.lit("\0")).alias("hi"), "q", "ts", "same", "text", "exact")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache: dict[str, SortedFile] = {}
+            for file, part in _by_file(batches):
+                mine, exact, ts = (part.column(c).to_pylist() for c in ("text", "exact", "ts"))
+                keep = list(range(part.num_rows))
+                if file >= 0:
+                    rows, left, right = look_up(names.value[file], part, ["text"], cache)
+                    read.add(rows.num_rows)
+                    body = rows.column("text").to_pylist()
+                    split = [x.split(" ") for x in mine]
+                    keep = [i for i in keep if any(body[k] is not None and same_headline(split[i], body[k].split(" "), slips) for k in range(left[i], right[i]))]
+                yield _batch("text string, exact boolean, ts long", [[x[i] for i in keep] for x in (mine, exact, ts)])
+
+        told = self._routed(wanted, "same").mapInArrow(verify, "text string, exact boolean, ts long")
+        return told.groupBy("text", "exact").agg(F.min("ts").alias("first_ts"))
+
+
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _given(items: DataFrame) -> DataFrame:
+    return items.filter(F.col("text") != "").select("text", F.coalesce("exact", F.lit(False)).alias("exact"), "ts")
+
+
+def _numbered(asking: DataFrame) -> DataFrame:
+    """(q, text, exact) of the asking items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, exact = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield _batch("q long, text string, exact boolean", [[record_of("k|" + t if e else t) for t, e in zip(text, exact)], text, exact])
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.segments: list[Segment] = []
+    return asking.select("text", "exact").mapInArrow(run, "q long, text string, exact boolean")
 
-    def add(self, keys: DataFrame) -> None:
-        path = new_path(self.spark, "keys0")
-        keys.select("key", "ts").write.parquet(path)
-        self.segments.append(Segment(0, path, 0))
-        while len(self.segments) > 1 and self.segments[-1].level == self.segments[-2].level:
-            one, two = self.segments.pop(), self.segments.pop()
-            path = new_path(self.spark, f"keys{one.level + 1}")
-            self.spark.read.parquet(one.path, two.path).groupBy("key").agg(F.min("ts").alias("ts")).write.parquet(path)
-            self.segments.append(Segment(one.level + 1, path, 0))
-            drop_path(self.spark, one.path)
-            drop_path(self.spark, two.path)
 
-    def repeats(self, keys: DataFrame) -> DataFrame:
-        """(key, first_ts) of those of the keys that were taken in, with the earliest moment."""
-        known = self.spark.read.parquet(*[s.path for s in self.segments])
-        return known.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("ts").alias("first_ts"))
+def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Pieces of one file each."""
+    for batch in batches:
+        file = batch.column("file").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                yield int(file[s]), batch.slice(s, e - s)
 
 
 def canonical_rows(rows: DataFrame, row_id: str, ts: str, title: str, words_of: Callable[[], Callable[[str | None], list[str]]]) -> DataFrame:
     """(id, ts, text): the canonical text of each row, null where it has none. words_of() is called once per task."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of()
         for batch in batches:
             texts = [" ".join(words(t)) or None for t in batch.column(2).to_pylist()]
