@@ -178,3 +178,21 @@ def test_copied_votes_count_less(spark):
     rows += [("t", "f", "a", 900, "right", 1), ("t", "f", "b", 901, "right", 1), ("t", "f", "o", 902, "wrong", 1), ("t", "f", "p", 903, "wrong", 1)]
     c = spark.createDataFrame(rows, "group string, field string, source string, row_id long, value string, preference long")
     assert {r.group: r.row_id for r in fuse(c).collect()}["t"] == 900
+
+
+def test_near_pairs_with_hot_values_in_blocks(spark, monkeypatch):
+    """Every record has the same frequent words and lists are split from two records on; no pair is lost, and sizes differ."""
+    from weftline.llm import near
+
+    monkeypatch.setattr(near, "BLOCK_CLASS", 1)
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):
+        base = VOCABULARY[:12] + [f"own{k}x{j}" for j in range(6)]
+        texts += [base, base[:-2], base + ["more", f"more{k}"], VOCABULARY[: k % 12 + 1]]
+    rows = [(i, " ".join(rng.sample(t, len(t))), "") for i, t in enumerate(texts)]
+    membership, pairs = near.near_pairs(spark.createDataFrame(rows, "id long, title string, excerpt string"), "id", ["title", "excerpt"], 0.7)
+    reps = sorted({r["class"] for r in membership.collect()})
+    sets = {i: set(t) for i, t in enumerate(texts)}
+    want = {(a, b) for n, a in enumerate(reps) for b in reps[n + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7 - 1e-9}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 100

@@ -1,11 +1,14 @@
 """Near-duplicate records: bottom-k sketches, inverted lists, union-sketch filter, exact Jaccard.
 
-One hash function maps words to 64 bits. A record's sketch is, for each of several affine re-orderings of
-those hashes (so one hash function serves all), its smallest values; runs of ROWS of them form
-the retained values of the inverted lists. Two records of Jaccard similarity s share a list with
-probability s^ROWS each, and MEET or more of the LISTS with probability 0.9999 at s = 0.7. The bottom-k values of the hash itself estimate the similarity of each
-met pair from the k smallest values of the union; pairs far below the threshold are dropped before
-their word sets are fetched, and the exact Jaccard similarity decides."""
+One hash function maps words to 64 bits. A record retains its k smallest values in an order that all records
+share: by how often the collection has the value (in powers of two, from a table of fixed size), then by the hash. So what is
+retained is rare first, and k follows the record's size: of two sets that are similar enough, the one with fewer words
+keeps enough values to share one with the other (its least k1 values with the other's least k2), whatever the order. The
+inverted lists of the retained values therefore meet every pair. Rows of a list carry the set's
+size, the value's place in the order and 128 bits of the set; together they bound the overlap of a pair
+exactly, and what can't reach the threshold ends in the list. Lists of frequent values are split in blocks. Of the pairs that are left
+the sketches of the plain hash (SKETCH smallest values) estimate the similarity from the union's smallest
+values; what stands far below the threshold is dropped, and the exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
@@ -21,18 +24,11 @@ from pyspark.sql import functions as F
 from weftline.llm.cleaning import words
 from weftline.operators.materialize import materialize
 
-ROWS = 5
-LISTS = 72
-MEET = 2  # lists that a pair shares at least
-BUCKET_BITS = 22
 SKETCH = 24
-SLACK = 0.35  # how far an estimate may stand below the threshold: 3.7 standard errors of 24 values at 0.7
+SLACK = 0.4  # how far an estimate may stand below the threshold: 4.2 standard errors of 24 values at 0.7
 SEED = 549
-
-
-def _orderings() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 63, ROWS * LISTS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, ROWS * LISTS, dtype=np.uint64)
+MIN_BITS, MAX_BITS = 16, 26  # of the table of frequencies: 64 kB to 64 MB
+BLOCK_CLASS = 13  # lists of values that more than 2^13 records have are split
 
 
 def sketch_records(records: DataFrame, row_id: str, texts: list[str]) -> DataFrame:
@@ -69,69 +65,83 @@ def sketch_records(records: DataFrame, row_id: str, texts: list[str]) -> DataFra
     return records.select(F.col(row_id).cast("long").alias("id"), *[F.col(t).cast("string").alias(f"_t{k}") for k, t in enumerate(texts)]).mapInArrow(run, "id long, w array<long>, h binary")
 
 
-def list_keys(sets: DataFrame, lone: Broadcast) -> DataFrame:
-    """(key, id, n, m) of each distinct set (id, w): its LISTS retained values, its size and the number of its words that other sets may have."""
+def frequencies(sets: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A table of 2^bits numbers, by the upper bits of the hash: the number of records that have a value there, as the exponent of the next power of two.
+    Counted over all records; bits follow the number of words between fixed bounds, so what is broadcast has a fixed bound as well.
+    Values that share a place are ranked as one frequency, which costs time but no pair."""
+    if bits is None:
+        total = sets.agg(F.sum(F.size("w"))).first()[0] or 1
+        bits = max(MIN_BITS, min(MAX_BITS, int(total).bit_length() - 1))
+    place = F.shiftrightunsigned("x", 64 - bits)
+    per = sets.select(F.explode("w").alias("x")).groupBy(place.alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = per.groupBy((F.col("k") / 1024).cast("long").alias("g")).agg(F.collect_list(F.struct((F.col("k") % 1024).cast("int").alias("k"), F.ceil(F.log2("n")).cast("byte").alias("c"))).alias("r"))
+    table = np.zeros(1 << bits, np.uint8)
+    for batch in rows.toArrow().to_batches():  # at most 2^bits / 1024 rows
+        lists = batch.column(1)
+        at = np.repeat(batch.column(0).to_numpy() * 1024, np.diff(np.asarray(lists.offsets)))
+        flat = lists.flatten()
+        table[at + flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+    return table
+
+
+def retained(threshold: float, table: Broadcast, probe: bool):
+    """Arrow stage from sets (id, w) to the rows of their inverted lists: key (value and block), id, size, place in the common order and 128 bits of the set.
+
+    probe: the values by which a set looks for sets of its size and below, n - ceil(t n) + 1 of them, in every block; else those under
+    which it is found, n - ceil(2 t n / (1 + t)) + 1, in one block each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul, add = _orderings()
-        bits = np.unpackbits(lone.value).astype(bool)
-        spread = np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        classes = table.value
+        shift = np.uint64(64 - int(len(classes)).bit_length() + 1)
         for batch in batches:
-            for s in range(0, batch.num_rows, 200):
-                part = batch.slice(s, 200)
-                col = part.column(1)
+            for s in range(0, batch.num_rows, 2000):
+                part = batch.slice(s, 2000)
+                ids, col = part.column(0).to_numpy(), part.column(1)
                 w = np.asarray(col.flatten()).view(np.uint64)
-                size = np.asarray(pa.compute.list_value_length(col)).astype(np.int64)
-                starts = np.append(0, np.cumsum(size))[:-1]
-                low = np.empty((len(size), ROWS * LISTS), np.uint64)
-                for k in range(0, ROWS * LISTS, 40):  # some columns at a time bound the memory
-                    x = w[:, None] * mul[None, k : k + 40] + add[None, k : k + 40]
-                    low[:, k : k + 40] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts, axis=0)
-                keys = np.zeros((len(size), LISTS), np.uint64)
-                for r in range(ROWS):
-                    keys = (keys ^ low[:, r::ROWS]) * np.uint64(0xBF58476D1CE4E5B9)
-                    keys ^= keys >> np.uint64(31)
-                keys = keys ^ spread[None, :]
-                shared = size - np.add.reduceat(bits[w >> np.uint64(64 - BUCKET_BITS)].astype(np.int64), starts)
-                who = np.repeat(np.arange(len(size)), LISTS)
-                cols = [pa.array(keys.reshape(-1).view(np.int64)), part.column(0).take(pa.array(who)), pa.array(size[who].astype(np.int32)), pa.array(shared[who].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "n", "m"])
-
-    return sets.select("id", "w").mapInArrow(run, "key long, id long, n int, m int")
-
-
-def lone_words(sets: DataFrame) -> np.ndarray:
-    """A table of bits, fixed in size: which of 2^BUCKET_BITS buckets of the hash hold a single word of a single record. A word alone in its bucket is
-    in no other record; where the collection has more words than buckets the table is merely empty."""
-    per = sets.select(F.explode("w").alias("x")).groupBy(F.shiftrightunsigned("x", 64 - BUCKET_BITS).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    bits = np.zeros(1 << BUCKET_BITS, bool)
-    for batch in per.filter("n = 1").select("k").toArrow().to_batches():  # at most one row a bucket
-        bits[np.asarray(batch.column(0))] = True
-    return np.packbits(bits)
+                n = np.asarray(pa.compute.list_value_length(col)).astype(np.int64)
+                start = np.append(0, np.cumsum(n))[:-1]
+                owner = np.repeat(np.arange(len(n)), n)
+                c = classes[w >> shift].astype(np.uint64)
+                order = np.lexsort(((c << np.uint64(58)) | (w >> np.uint64(6)), owner))
+                pos = np.arange(len(w)) - start[owner]
+                keep = n - np.ceil((threshold if probe else 2 * threshold / (1 + threshold)) * n - 1e-9).astype(np.int64) + 1
+                take = pos < keep[owner]
+                low, high = (np.bitwise_or.reduceat(np.where((w >> np.uint64(7)) & np.uint64(1) == k, np.uint64(1) << (w & np.uint64(63)), np.uint64(0)), start) for k in (np.uint64(0), np.uint64(1)))
+                who, at, value, cls = owner[take], pos[take], w[order][take], c[order][take].astype(np.int64)
+                blocks = np.int64(1) << np.maximum(0, cls - BLOCK_CLASS)
+                if probe:
+                    copies = np.repeat(np.arange(len(who)), blocks)
+                    block = np.arange(len(copies)) - np.repeat(np.append(0, np.cumsum(blocks))[:-1], blocks)
+                    who, at, value = who[copies], at[copies], value[copies]
+                else:
+                    block = (ids[who].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % blocks
+                key = (value ^ (block.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))).view(np.int64)
+                cols = [key, ids[who], n[who].astype(np.int32), at.astype(np.int32), low[who].view(np.int64), high[who].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "id", "n", "at", "low", "high"])
+
+    return run
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of distinct sets (id, w), a < b, with Jaccard similarity of threshold or more.
-
-    Rows of the inverted lists carry two numbers besides key and id: the set's size and how many of its words can be in another
-    set at all. They bound what a pair can reach exactly, so hot lists of records that share a frame but
-    not their names end here. Pairs that share MEET lists or more go on to the union sketch and, of
-    those that it lets pass, the word sets are fetched and compared."""
-    keys = list_keys(sets, sets.sparkSession.sparkContext.broadcast(lone_words(sets)))
-    met = keys.alias("l").join(keys.alias("r"), "key")
-    na, nb, o = F.col("l.n"), F.col("r.n"), F.least("l.m", "r.m")
-    can = (F.col("l.id") < F.col("r.id")) & (o >= threshold * (na + nb - o) - 1e-9)
-    met = met.filter(can).groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= MEET).select("a", "b")
-    met = materialize(met, "met")
-    sk = sets.select("id", F.slice("w", 1, SKETCH).alias("sk"))
-    both = met.join(sk.select(F.col("id").alias("a"), F.col("sk").alias("ska")), "a").join(sk.select(F.col("id").alias("b"), F.col("sk").alias("skb")), "b")
-    union = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, SKETCH)  # the smallest values of the union
-    shared = F.size(F.array_intersect(union, F.array_intersect("ska", "skb")))
-    kept = materialize(both.filter(shared >= (threshold - SLACK) * F.size(union)).select("a", "b"), "kept")
+    """(a, b, similarity) of distinct sets (id, w), a < b, with Jaccard similarity of threshold or more."""
+    table = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+    schema = "key long, id long, n int, at int, low long, high long"
+    found = sets.select("id", "w").mapInArrow(retained(threshold, table, False), schema).alias("l")
+    asking = sets.select("id", "w").mapInArrow(retained(threshold, table, True), schema).alias("r")
+    nl, nr = F.col("l.n"), F.col("r.n")
+    need = threshold / (1 + threshold) * (nl + nr) - 1e-9  # words that both must have
+    smaller = (nl < nr) | ((nl == nr) & (F.col("l.id") < F.col("r.id")))
+    rest = F.least(nl - F.col("l.at"), nr - F.col("r.at"))  # words from the first common value on
+    apart = F.bit_count(F.col("l.low").bitwiseXOR(F.col("r.low"))) + F.bit_count(F.col("l.high").bitwiseXOR(F.col("r.high")))  # words of one side only, at least
+    met = found.join(asking, (F.col("l.key") == F.col("r.key")) & smaller & (nl >= threshold * nr - 1e-9) & (rest >= need) & (apart <= nl + nr - 2 * need))
+    met = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     wa = sets.select(F.col("id").alias("a"), F.col("w").alias("wa"))
     wb = sets.select(F.col("id").alias("b"), F.col("w").alias("wb"))
+    union = F.slice(F.array_sort(F.array_union(F.slice("wa", 1, SKETCH), F.slice("wb", 1, SKETCH))), 1, SKETCH)  # the smallest values of the union
+    shared = F.size(F.array_intersect(union, F.array_intersect(F.slice("wa", 1, SKETCH), F.slice("wb", 1, SKETCH))))
+    both = met.join(wa, "a").join(wb, "b").filter(shared >= (threshold - SLACK) * F.size(union))
     common = F.size(F.array_intersect("wa", "wb"))
-    exact = kept.join(wa, "a").join(wb, "b").select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u"))
+    exact = both.select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u"))
     return exact.filter(F.col("c") >= threshold * F.col("u") - 1e-9).select("a", "b", (F.col("c") / F.col("u")).alias("similarity"))
 
 

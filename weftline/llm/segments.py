@@ -290,7 +290,7 @@ class TextHistory:
                 yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(to, pa.int32())], names=[*batch.schema.names, "file"])
 
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
-        salts = max(1, -(-max(s.rows for s in self.segments) // SEARCHES_PER_TASK))
+        salts = max(1, -(-(self.segments[-1].rows >> self.segments[-1].level) // SEARCHES_PER_TASK))  # by the size of the newest batch
         return asked.mapInArrow(route, f"{kept}, file int").repartition("file", F.pmod(F.col("q"), F.lit(salts))).sortWithinPartitions("file", "key")
 
     def repeats(self, items: DataFrame) -> DataFrame:
