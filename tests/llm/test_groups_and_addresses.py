@@ -35,6 +35,16 @@ def test_connect_in_many_bounded_partitions(spark):
         assert got == roots(edges)
 
 
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
+    """Records of batch k match those of batch k - 1, and no partition holds two batches: 17 layers end in five rounds at most."""
+    layer = 30
+    for layers in (5, 17):
+        edges = [(1000 * k + i, 1000 * (k + 1) + i) for k in range(layers) for i in range(layer)]
+        told = {}
+        got = {r.node: r.root for r in connect(spark.createDataFrame(edges, "a long, b long"), "a", "b", edges_per_task=layer, told=told).collect()}
+        assert got == roots(edges) and told["rounds"] <= 5
+
+
 def test_connect_nothing(spark):
     none = spark.createDataFrame([], "a long, b long")
     assert connect(none, "a", "b").count() == 0
