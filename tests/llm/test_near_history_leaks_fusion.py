@@ -196,3 +196,26 @@ def test_near_pairs_with_hot_values_in_blocks(spark, monkeypatch):
     sets = {i: set(t) for i, t in enumerate(texts)}
     want = {(a, b) for n, a in enumerate(reps) for b in reps[n + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7 - 1e-9}
     assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 100
+
+
+def test_fusion_overrules_a_preference_unless_votes_are_copied(spark):
+    """With production weights: 150 sources that err apart overrule the preferred value of one; 150 that share false values elsewhere don't, unless copy detection is left out."""
+    rows = []
+    for k in range(150):
+        rows.append(("honest", "f", f"h{k}", 1000 + k, "plain", 1))
+        rows.append(("copied", "f", f"c{k}", 2000 + k, "plain", 1))
+        rows += [(f"own{k}-{n}", "f", f"c{k}", 100_000 + 10 * k + n, "true", 1) for n in range(8)]
+    rows += [("honest", "f", "lead", 1, "best", 2), ("copied", "f", "lead", 2, "best", 2)]
+    for n in range(2):  # values that all of c claim and that are false, as the trusted sources and the preference say
+        rows += [(f"g{n}", "f", f"c{k}", 10000 * (n + 1) + k, "wrong", 1) for k in range(150)] + [(f"g{n}", "f", f"t{k}", 10000 * (n + 1) + 500 + k, "right", 2) for k in range(160)]
+    c = spark.createDataFrame(rows, "group string, field string, source string, row_id long, value string, preference long")
+    with_it, without = ({r.group: r.row_id for r in fuse(c, copies=x).collect()} for x in (True, False))
+    assert with_it["honest"] == without["honest"] == 1000
+    assert with_it["copied"] == 2 and without["copied"] == 2000
+
+
+def test_a_hot_group_is_kept_small(spark):
+    """A group with nearly all rows, each with a value of its own."""
+    rows = [("hot", "f", f"s{k % 7}", k, f"v{k}", k % 5000) for k in range(6000)] + [("cold", "f", "s1", 9999, "x", 0)]
+    c = spark.createDataFrame(rows, "group string, field string, source string, row_id long, value string, preference long")
+    assert {r.group: r.row_id for r in fuse(c).collect()} == {"hot": 4999, "cold": 9999}
