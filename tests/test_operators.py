@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators.claims import claims_of, entities, extract_claims, find_conflicts, group_claims, quantity_map
+from weftline.operators.claims import entity_names, extract_claims, find_conflicts, group_claims
 from weftline.operators.dedup import exact_groups, resolve_in_order, simhash_pairs, title_pairs, token_pairs
 from weftline.operators.evaluation import bootstrap_ci, clustering_metrics, rank_metrics, topk_overlap
 from weftline.operators.graphs import article_graph, components, pagerank
@@ -202,7 +202,8 @@ def test_projection_properties(spark):
     assert unit_rows(np.zeros((1, 3))).sum() == 0
 
 
-CLAIMS = [("s", 1, "alpha", False, "Northwind Labs said Atlas scores 71.4 percent on the agent benchmark."), ("s", 2, "beta", False, "Northwind Labs said Atlas scores 71.4 percent on the agent benchmark."), ("s", 3, "wire", True, "A grid operator warned that Demand Corp could add 6 gigawatts by 2030.")]
+PORT = "Halden Port said the Corvo terminal handles 38.5 percent of the coastal grain trade."
+CLAIMS = [("s", 1, "north", False, PORT), ("s", 2, "south", False, PORT), ("s", 3, "wire", True, "A rail union warned that Verro Freight could cut 900 jobs by 2031.")]
 
 
 def _claims(spark, rows):
@@ -210,19 +211,30 @@ def _claims(spark, rows):
 
 
 def test_claims(spark):
-    c = claims_of("One thing. Northwind Labs said Atlas scores 71.4 percent on the agent benchmark.")
-    assert len(c) == 1 and c[0]["predicate"] == "said" and c[0]["confidence"] == 0.85
-    assert claims_of(None) == [] and claims_of("") == []
-    assert quantity_map("$4.2 billion and 1,800 people") == {"billion": {4.2}, "jobs": {1800.0}}
-    assert entities("Markets fell. On Monday shares of Acme Corp rose, and Zenith fell.") == ["Acme Corp", "Zenith"]
+    rows = [("s", 1, "x", False, "One thing. " + PORT), ("s", 2, "x", False, None), ("s", 3, "x", False, ""), ("s", 4, "x", False, "Acme/Beta/Gamma/Delta/Eps/Zeta 2025."), ("s", 5, "x", False, "It rained. It was wet again in all of the town then.")]
+    c = {r.article_id: r for r in _claims(spark, rows).collect()}
+    assert set(c) == {1, 4} and (c[1].start, c[1].stop, c[1].claim) == (11, 11 + len(PORT), PORT)
+    assert (c[1].subject, c[1].predicate, c[1].object, c[1].confidence) == ("Halden Port", "said", PORT[17:], 0.85) and c[1].entities == ["Corvo", "Halden Port"]
+    assert c[4].predicate is None and c[4].object is None
     got = {r.status: (r.occurrences, r.domains, r.duplicates) for r in group_claims(_claims(spark, CLAIMS), "story").collect()}
     assert got == {"repeated": (2, 2, 0), "single_source": (1, 0, 1)}
+    assert group_claims(_claims(spark, rows[1:3]), "story").count() == 0
 
 
-def test_denied_value(spark):
-    rows = [("s", 1, "alpha", False, "Northwind Labs said the Atlas model scores 71.4 percent on the public agent benchmark."), ("s", 2, "beta", False, "Independent testers at Northwind Labs say that it does not reach 71.4 percent in any setting they tried.")]
+def test_entities(spark):
+    texts = ["Prices rose. On Friday boats of Verro Freight left, and Halden waited.", "Halden waited.", None, "", "The Port of Arn and Selby's Yard met; SHIPPING grew, NATO did not.", "Ice. Ice Ice. Then Ice fell on Ice."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").select("id", entity_names(F.col("t")).alias("e"))
+    assert [r.e for r in df.orderBy("id").collect()] == [["Halden", "Verro Freight"], [], [], [], ["NATO", "Port of Arn and Selby's Yard"], ["Ice", "Ice. Ice Ice. Then Ice"]]
+
+
+def test_conflicts(spark):
+    rows = [("s", 1, "north", False, "Halden Port said the Corvo terminal handles 38.5 percent of the coastal grain trade."), ("s", 2, "south", False, "Rival shippers at Halden Port insist that it does not handle 38.5 percent in any year on record.")]
     assert [r.reason for r in find_conflicts(_claims(spark, rows), "story").collect()] == ["denied_value"]
     assert find_conflicts(_claims(spark, rows[:1]), "story").count() == 0
+    far = [("s", 1, "north", False, "Verro Freight will close two yards in Arn and cut 900 jobs by spring."), ("s", 2, "south", False, "Unions fear Verro Freight will cut 1,400 jobs and close yards by autumn.")]
+    assert [r.reason for r in find_conflicts(_claims(spark, far), "story").collect()] == ["different_values_for_same_unit"]
+    split = [("s", 1, "north", False, PORT), ("s", 2, "south", False, PORT.replace("38.5", "21")), ("s", 3, "east", False, PORT.replace("38.5", "21"))]
+    assert [(r.status, r.occurrences) for r in group_claims(_claims(spark, split), "story").collect()] == [("unclear", 3)]
 
 
 def test_timeline_and_summary(spark):
@@ -236,8 +248,8 @@ def test_timeline_and_summary(spark):
 
 def test_online_assignment(spark):
     h = 3_600_000_000
-    base = int(dt.datetime(2026, 8, 18, 6, tzinfo=dt.timezone.utc).timestamp() * 1e6)
-    a, b = "Northwind Labs releases Atlas 3 agent model to developers worldwide", "Grid operator warns data centre demand could add 6 gigawatts by 2030"
+    base = int(dt.datetime(2026, 5, 21, 6, tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    a, b = "Halden Port opens a grain terminal for coastal ships this week", "Union warns freight yards in the north could lose 900 jobs"
     rows = [(1, a, a, base, "t", False, None), (2, a + " today", a + " today", base + 2 * h, "t", False, None), (3, a, a, base + 3 * h, "t", True, 1), (4, b, b, base + 30 * h, "t", False, None), (5, a, a, base + 900 * h, "t", False, None), (6, None, "", None, None, None, None)]
     df = spark.createDataFrame(rows, "id long, title string, body string, at long, topic string, is_near_duplicate boolean, duplicate_of long")
     got = {r.id: (r.story_id, r.method) for r in assign_stories(df).collect()}

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators.claims import claim_evidence, entities
+from weftline.operators.claims import claim_evidence, entity_names
 from weftline.operators.graphs import article_graph, components, graph_stats as stats_of, pagerank
 from weftline.operators.materialize import materialize
 from weftline.plans.relational import _members
@@ -26,12 +25,8 @@ ENTITIES = 8  # of an article
 def evidence_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     """The whole graph: besides articles, sources and topics also stories (a label's similarity is 1), entities and claims."""
 
-    @F.pandas_udf("array<string>")
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: entities(t)[:ENTITIES])
-
     a = materialize(articles(spark, d, "title", "excerpt", "source_domain", "topic", "is_near_duplicate", "duplicate_of_article_id"), "articles")
-    mentions = a.select(F.col("id").alias("article_id"), F.explode(find(T.body_text(F.col("title"), F.col("excerpt")))).alias("entity"))
+    mentions = a.select(F.col("id").alias("article_id"), F.explode(entity_names(T.body_text(F.col("title"), F.col("excerpt")), ENTITIES)).alias("entity"))
     members = _members(spark, d).select(F.col("id").alias("article_id"), F.col("story_label").alias("story"), F.lit(1.0).alias("similarity"))
     said = claim_evidence(_claims(spark, d), "story").withColumn("claim", F.concat_ws("/", F.col("story").cast("string"), F.col("claim_hash").cast("string")))
     return article_graph(a, members, mentions=mentions, evidence=said)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators.claims import entities, extract_claims, find_conflicts, group_claims
+from weftline.operators.claims import claim_heads, entity_names, extract_claims, find_conflicts, group_claims
 from weftline.operators.materialize import materialize
 from weftline.operators.stories import assign_stories, summarize, timeline
 from weftline.plans.relational import _members
@@ -38,19 +37,18 @@ def claim_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_stances(spark: SparkSession, d: str) -> DataFrame:
-    """What each claim's occurrence does: report alone, support with other sources, or speak against."""
+    """What each claim's occurrence does: where its group contradicts itself it disputes, or is unclear if negated; else it supports with other sources or reports alone."""
     c = _claims(spark, d)
-    spread = c.groupBy("story", "claim_hash").agg(F.countDistinct(F.when(~F.col("is_near_duplicate"), F.col("source_domain"))).alias("domains"))
-    stance = F.when(F.col("negated"), "unclear").when((F.col("domains") > 1) & ~F.col("is_near_duplicate"), "supports").otherwise("reports")
-    return c.join(spread, ["story", "claim_hash"]).groupBy(stance.alias("stance")).agg(F.count(F.lit(1)).alias("occurrences"))
+    g = group_claims(c, "story").select("story", F.col("claim_hash").alias("head"), "domains", (F.col("status") == "unclear").alias("_split"))
+    e = claim_heads(c, "story").join(g, ["story", "head"])
+    stance = F.when(F.col("_split"), F.when(F.col("negated"), "unclear").otherwise("disputes")).when((F.col("domains") > 1) & ~F.col("is_near_duplicate"), "supports").otherwise("reports")
+    return e.groupBy(stance.alias("stance")).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def entity_counts(spark: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(entities)
-
-    return articles(spark, d, "title").select("id", F.explode(find("title")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("articles")).filter("articles > 1")
+    """Entities of more than one article, from title and excerpt."""
+    a = articles(spark, d, "title", "excerpt").select("id", T.body_text(F.col("title"), F.col("excerpt")).alias("body"))
+    return a.select("id", F.explode(entity_names(F.col("body"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("articles")).filter("articles > 1")
 
 
 def timeline_novelty(spark: SparkSession, d: str) -> DataFrame:
