@@ -61,7 +61,7 @@ def clustering_metrics(items: DataFrame, truth: str, pred: str) -> DataFrame:
     return one.select(pr.alias("precision"), rc.alias("recall"), f1(pr, rc).alias("f1"), bp.alias("b3_precision"), br.alias("b3_recall"), f1(bp, br).alias("b3_f1"), ari.alias("ari"), "fragmentation", "merge")
 
 
-def bootstrap_ci(values: DataFrame, value: str, key: str, draws: int = 200, confidence: float = 0.95, seed: int = 549) -> DataFrame:
+def bootstrap_ci(values: DataFrame, value: str, key: str, draws: int = 2000, confidence: float = 0.95, seed: int = 549) -> DataFrame:
     """(mean, lo, hi, n): percentile bootstrap of the mean. Each draw gives every row a Poisson-like weight by hash of seed, draw and key (0 to 3
     times), so a draw is an aggregation and no row list leaves its task; weights are those of a Poisson(1) cut at its quantiles."""
     rows = values.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col(key).cast("string").alias("k"))

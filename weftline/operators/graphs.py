@@ -69,8 +69,8 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, restart: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, max_rounds: int = 100, cut_every: int = 5) -> tuple[DataFrame, int]:
     """((node, mass), rounds): power iteration of personalised PageRank. restart (node, weight) is scaled to one; the mass of
-    dangling nodes goes to it. Stops when masses move less than tolerance in total. Pre-aggregation on dst keeps hubs harmless;
-    lineage is cut every few rounds."""
+    dangling nodes goes to it. Stops when masses move less than tolerance in total in one round, which is measured every cut_every rounds. Pre-aggregation on dst keeps hubs harmless;
+    lineage is cut at the same rounds."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     step = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "transitions")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -82,16 +82,18 @@ def pagerank(edges: DataFrame, restart: DataFrame, damping: float = 0.85, tolera
         base = nodes.select("node", F.lit(1.0 / n).alias("r"))
     base = materialize(base.join(out.select(F.col("src").alias("node"), F.lit(True).alias("has")), "node", "left").select("node", "r", F.col("has").isNull().alias("dangling")), "restart")
     rank = base.select("node", F.col("r").alias("mass"))
+    hanging = not base.filter("dangling").isEmpty()
     for r in range(1, max_rounds + 1):
-        hung = rank.join(base.filter("dangling").select("node"), "node", "left_semi").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
+        hung = rank.join(base.filter("dangling").select("node"), "node", "left_semi").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0] if hanging else 0.0
         flow = rank.join(step, rank["node"] == step["src"]).groupBy("dst").agg(F.sum(F.col("mass") * F.col("p")).alias("f"))
-        new = base.join(flow, base["node"] == flow["dst"], "left").select("node", (damping * (F.coalesce("f", F.lit(0.0)) + hung * F.col("r")) + (1 - damping) * F.col("r")).alias("mass"))
-        if tolerance > 0 or r % cut_every == 0:
-            new = materialize(new, "mass")
-        if tolerance > 0:
-            moved = new.join(rank.select("node", F.col("mass").alias("old")), "node").agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0
-            rank = new
-            if moved < tolerance:
-                return rank, r
-        rank = new
+        before = rank
+        rank = base.join(flow, base["node"] == flow["dst"], "left").select("node", (damping * (F.coalesce("f", F.lit(0.0)) + hung * F.col("r")) + (1 - damping) * F.col("r")).alias("mass"))
+        if tolerance > 0 and r % cut_every == cut_every - 1:
+            rank = materialize(rank, "mass")  # the next round's movement is measured from here
+        elif r % cut_every == 0:
+            rank = materialize(rank, "mass")
+            if tolerance > 0:
+                moved = rank.join(before.select("node", F.col("mass").alias("old")), "node").agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0
+                if moved < tolerance:
+                    return rank, r
     return rank, max_rounds

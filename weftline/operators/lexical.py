@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.functions.text import QUERY_STOP, bound, tokens
+from weftline.operators.materialize import materialize
 
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 2.0
 
@@ -26,14 +27,6 @@ def postings(docs: DataFrame, doc_id: str, terms: Column) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_weights(posts: DataFrame, n_docs: int) -> DataFrame:
-    """(doc_id, term, w): sublinear tf, smoothed idf, unit length per document."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = posts.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1))
-    length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, "doc_id").select("doc_id", "term", (F.col("w") / F.col("len")).alias("w"))
-
-
 def top_by_score(scored: DataFrame, k: int) -> DataFrame:
     """k best per query, ties (in eight decimals: sums depend on their order) by doc id."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), "doc_id"))
@@ -41,23 +34,27 @@ def top_by_score(scored: DataFrame, k: int) -> DataFrame:
 
 
 def tfidf_topk(docs: DataFrame, doc_id: str, text: Column, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank) for queries (query_id, query), documents' statistics only. Only documents that share a term meet a query."""
-    posts = postings(docs, doc_id, grams(text))
+    """(query_id, doc_id, score, rank) for queries (query_id, query), documents' statistics only. Only documents that share a term meet a query.
+
+    Postings are written once; document lengths need every term's weight and are made from them, but only postings of query terms
+    are joined with queries. A hot term's list is split by AQE, as its rows are many and its queries few."""
+    posts = materialize(postings(docs, doc_id, grams(text)), "postings")
     n = docs.count()
-    weights = tfidf_weights(posts, n)
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = postings(queries, "query_id", grams(F.col("query"))).withColumnRenamed("doc_id", "query_id")
-    q = q.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    qlen = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    q = q.join(qlen, "query_id").select("query_id", "term", (F.col("w") / F.col("len")).alias("qw"))
-    return top_by_score(q.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")), k)
+    df = materialize(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    weight = (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
+    length = posts.join(df, "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("len"))
+    q = materialize(postings(queries, "query_id", grams(F.col("query"))).withColumnRenamed("doc_id", "query_id").join(df, "term").select("query_id", "term", "df", weight.alias("w")), "queryterms")
+    qlen = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qlen"))
+    hit = q.join(posts, "term").select("query_id", "doc_id", (F.col("w") * weight).alias("p")).groupBy("query_id", "doc_id").agg(F.sum("p").alias("p"))
+    scored = hit.join(length, "doc_id").join(qlen, "query_id").select("query_id", "doc_id", (F.col("p") / F.col("len") / F.col("qlen")).alias("score"))
+    return top_by_score(scored, k)
 
 
 def bm25_topk(docs: DataFrame, doc_id: str, title: Column, body: Column, queries: DataFrame, k: int) -> DataFrame:
     """Okapi BM25 with title terms counted twice, any query term may match."""
     t = postings(docs, doc_id, tokens(title)).select("doc_id", "term", (F.col("tf") * TITLE_WEIGHT).alias("tf"))
     b = postings(docs, doc_id, tokens(body)).select("doc_id", "term", F.col("tf").cast("double").alias("tf"))
-    posts = t.unionByName(b).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    posts = materialize(t.unionByName(b).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "postings")
     length = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     n = docs.count()
     mean = length.agg(F.sum("dl")).first()[0]
@@ -65,7 +62,7 @@ def bm25_topk(docs: DataFrame, doc_id: str, title: Column, body: Column, queries
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = q.join(df, "term").join(posts, "term").join(length, "doc_id")
+    hit = q.join(df, "term").join(posts, "term").join(length, "doc_id")  # postings of query terms only
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
     return top_by_score(hit.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score")), k)
 

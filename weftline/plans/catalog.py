@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["moments", "texts", "duplicates", "vector_search", "retrieval", "graph_queries", "relational", "story_queries", "events"]
+MODULES = ["moments", "texts", "duplicates", "vector_search", "retrieval", "graph_queries", "relational", "story_queries", "service", "events"]
 
 
 def queries() -> dict:

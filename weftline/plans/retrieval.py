@@ -9,6 +9,7 @@ from weftline.functions import text as T
 from weftline.operators.evaluation import bootstrap_ci, clustering_metrics, rank_metrics, topk_overlap
 from weftline.operators.lexical import B, K1, TITLE_WEIGHT, blend, bm25_topk, signal_rerank, tfidf_topk
 from weftline.operators.materialize import materialize
+from weftline.plans.graph_queries import ORACLE as GRAPH_SQL, pagerank_fixed_iter
 from weftline.plans.texts import A, articles, quoted, tok
 from weftline.plans.vector_search import topk_sql, vec_cosine_topk, vec_topk_filtered
 from weftline.sources.tables import table
@@ -52,9 +53,9 @@ def signal_reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank_blend(spark: SparkSession, d: str) -> DataFrame:
-    """Hits blended with how often reviewers saw an article, in place of a walk's mass."""
-    mass = table(spark, d, "story_pairs").filter("article_a_id IS NOT NULL").groupBy(F.col("article_a_id").alias("doc_id")).agg(F.count(F.lit(1)).cast("double").alias("mass"))
-    return _shown(blend(materialize(_bm25(spark, d, 40), "hits"), mass)).filter(F.col("rank") <= 10)
+    """Hits blended with the mass that five rounds of PageRank from one topic's articles give each article (the walk of pagerank_fixed_iter)."""
+    mass = pagerank_fixed_iter(spark, d).filter(F.col("node").startswith("article:")).select(F.substring_index("node", ":", -1).cast("long").alias("doc_id"), "mass")
+    return _shown(blend(materialize(_bm25(spark, d, 40), "hits"), materialize(mass, "mass"))).filter(F.col("rank") <= 10)
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +145,7 @@ _M = _M.replace("""  r AS (SELECT query_id, count(*) AS relevant, (SELECT sum(1
 def _boot(source: str, value: str) -> str:
     u = "(('0x' || substr(sha256('549:' || draw || ':' || query_id), 9, 8))::UBIGINT / 4294967296.0::DOUBLE)"
     return f"""d AS (SELECT draw, sum({value} * k) / nullif(sum(k), 0) AS mean FROM (SELECT draw, {value}, CASE WHEN {u} < 0.36788 THEN 0 WHEN {u} < 0.73576 THEN 1 WHEN {u} < 0.9197 THEN 2 WHEN {u} < 0.98101 THEN 3 ELSE 4 END AS k
-      FROM {source}, (SELECT unnest(range(1, 201)) AS draw)) GROUP BY draw), o AS (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM d)"""
+      FROM {source}, (SELECT unnest(range(1, 2001)) AS draw)) GROUP BY draw), o AS (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM d)"""
 
 
 ORACLE = {
@@ -152,7 +153,7 @@ ORACLE = {
     "bm25_search": f"WITH {_BM25} {_SHOW}{_top(10)}",
     "signal_reranked": f"""WITH {_BM25}, c AS (SELECT t.query_id, t.doc_id, (0.75::DOUBLE * t.score + 0.25::DOUBLE * coalesce(pow(0.5::DOUBLE, greatest(0.0::DOUBLE, ({AS_OF_US} - epoch_us(a.retrieved_at)) / 3.6e9::DOUBLE) / 2400.0::DOUBLE), 1.0::DOUBLE)) * (CASE WHEN a.is_near_duplicate THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS score
       FROM {_top(40)} t JOIN a ON a.id = t.doc_id) {_SHOW}{_top(10, 'c')}""",
-    "pagerank_blend": f"""WITH {_BM25}, k AS (SELECT article_a_id AS doc_id, count(*)::DOUBLE AS mass FROM story_pairs WHERE article_a_id IS NOT NULL GROUP BY 1),
+    "pagerank_blend": f"""WITH {_BM25}, k AS (SELECT substr(node, 9)::BIGINT AS doc_id, mass FROM ({GRAPH_SQL["pagerank_fixed_iter"]}) WHERE starts_with(node, 'article:')),
       x AS (SELECT query_id, doc_id, score, coalesce(mass, 0) AS m FROM {_top(40)} LEFT JOIN k USING (doc_id)), y AS (SELECT *, min(m) OVER (PARTITION BY query_id) AS lo, max(m) OVER (PARTITION BY query_id) AS hi FROM x),
       c AS (SELECT query_id, doc_id, 0.7::DOUBLE * score + 0.3::DOUBLE * ((m - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END) AS score FROM y) {_SHOW}{_top(10, 'c')}""",
     "ranking_metrics": f"WITH {_M} SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM m",
