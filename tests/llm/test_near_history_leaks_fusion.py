@@ -108,6 +108,7 @@ def test_leaks(spark):
     i = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in find_leaks(d, "doc_id", "text", i, "item_id", "text").collect())
     assert got == sorted([(1, 1), (1, 2), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (4, 3), (10, 1), (10, 2)])
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(d, "doc_id", "text", i, "item_id", "text", max_items=2).collect()) == got  # items in blocks
     assert find_leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
     assert find_leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 

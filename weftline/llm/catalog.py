@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from weftline.llm import q_encoding, q_formatting, q_fusion, q_groups, q_history, q_leaks, q_near, q_reading
 
-MODULES = ["q_history", "q_groups", "q_near", "q_formatting", "q_fusion", "q_encoding", "q_leaks", "q_reading"]
+MODULES = [q_history, q_groups, q_near, q_formatting, q_fusion, q_encoding, q_leaks, q_reading]  # imported here, so that a missing library shows at the import of this module
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"weftline.llm.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(f"weftline.llm.{m}").ORACLE.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}

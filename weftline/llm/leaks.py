@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ DENSE = 13  # words of a stretch in runs of three that the item has
 SEAM = 64  # empty words between texts that are searched together
 COVER = SHINGLE + NEED - 1  # words that NEED whole shingles cover in a stretch at least: those next to each other
 TEXTS_AT_ONCE = 256
-MAX_ITEMS = 200_000  # bound of the item side, which goes to every executor
+MAX_ITEMS = 200_000  # items that go to every executor at once
 
 
 def shingle_hashes(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -273,16 +274,22 @@ def joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id) of each document that holds a passage of an item.
 
-    The item table is small by nature and goes to every executor; more than max_items rows are
-    an error (split the table then). The corpus is read once into arrays of word ids, which are
+    Items go to every executor in blocks of max_items, one block for a usual table; each block is one
+    pass over the corpus, which is read into arrays of word ids that are
     written to the shared folder; shingle frequencies are counted over all documents and
     collected for the items' shingles only. No shuffle of documents. Null and empty texts and
     items hold nothing, an item filed twice counts under both ids, repeated documents give repeated rows."""
+    rows = items.filter(F.length(item_text) > 0).select(item_id, item_text).toLocalIterator()
+    found = None
+    while block := [(r[0], r[1]) for r in islice(rows, max_items)]:
+        one = _of_block(docs, doc_id, text, block, item_id)
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else _of_block(docs.limit(0), doc_id, text, [], item_id)
+
+
+def _of_block(docs: DataFrame, doc_id: str, text: str, block: list[tuple[int, str]], item_id: str) -> DataFrame:
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).limit(max_items + 1).collect()]
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items")
-    index = index_items([r for r in rows if r[1]])
+    index = index_items(block)
     first = spark.sparkContext.broadcast(index)
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
