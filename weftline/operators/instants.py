@@ -35,11 +35,11 @@ def parse_walls(rows: DataFrame, text: str, date_order: Column, country: Column)
     return let(df, "_offset", zone_offset_minutes(F.col("_zone"), country)).drop("_text", "_parts", "_clock")
 
 
-def estimate_zones(zoneless: DataFrame, source: str, wall: str, ingested_us: str, candidates: list[str], max_lag_hours: int = 24 * 60, day_weight: float = 0.5) -> DataFrame:
+def estimate_zones(zoneless: DataFrame, source: str, wall: str, ingested_us: str, candidates: list[str], max_lag_hours: int = 24 * 60, lag_weight: float = 0.5, near_hours: float = 6.0) -> DataFrame:
     """For each source the zone whose offset history breaks fewest rules: a row can't have been
-    ingested before the moment it tells, nor more than max_lag_hours after it. A broken rule costs 1, a kept one day_weight for each day of
-    lag up to one, so that of zones which break no rule the nearest wins and a few wrong clocks don't move a source to the
-    next zone. Every row meets every candidate (there are some 600 zones at most); costs are added up before the shuffle, so a hot
+    ingested before the moment it tells, nor more than max_lag_hours after it. A broken rule costs 1, a kept one the lag's share of near_hours,
+    one at most, times lag_weight, so that of zones which break no rule the nearest wins and a few wrong clocks (up to 8 percent) don't move a
+    source to the next zone. Every row meets every candidate (there are some 600 zones at most); costs are added up before the shuffle, so a hot
     source is as cheap as any.
 
     Output: source, est_tz, violations, rows. Ties: the first zone by name. Rows without ingestion time or wall time
@@ -48,7 +48,7 @@ def estimate_zones(zoneless: DataFrame, source: str, wall: str, ingested_us: str
     each = known.select(F.col(source), F.col(wall).alias("_w"), F.col(ingested_us).alias("_i"), F.explode(F.array(*[F.lit(z) for z in sorted(candidates)]).cast("array<string>")).alias("est_tz"))
     lag = (F.col("_i") - F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_w"), F.col("est_tz")))) / 3_600_000_000
     broken = (lag < 0) | (lag > max_lag_hours)
-    cost = F.when(broken, 1.0).otherwise(day_weight * F.least(lag / 24, F.lit(1.0)))
+    cost = F.when(broken, 1.0).otherwise(lag_weight * F.least(lag / near_hours, F.lit(1.0)))
     told = each.groupBy(source, "est_tz").agg(F.sum(cost).alias("_cost"), F.count_if(broken).alias("violations"), F.count(F.lit(1)).alias("rows"))
     best = F.min(F.struct(F.round("_cost", 6).alias("c"), F.col("est_tz"), F.col("violations"), F.col("rows"))).alias("_b")
     return told.groupBy(source).agg(best).select(source, F.col("_b.est_tz").alias("est_tz"), F.col("_b.violations").alias("violations"), F.col("_b.rows").alias("rows"))
