@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 from weftline.llm.headlines import same_headline
-from weftline.llm.segments import TextHistory, entries_of, searches_of
+from weftline.llm.segments import TextHistory, entries_of, letter_counts, letters_apart, searches_of
 
 LETTERS = "abcdefghijklmnoprstuvwz"
 
@@ -90,3 +92,30 @@ def test_hot_stretch(spark):
     new = _frame(spark, [(t[:-1], False, 1000) for t in texts])
     got = {r.text: r.first_ts for r in h.repeats(new).collect()}
     assert got == {t[:-1]: k for k, t in enumerate(texts)}
+
+
+def test_texts_of_one_pattern_are_not_fetched(spark):
+    """Headlines that differ in names only meet in the arrays by the thousand; none of them is fetched, and each still meets its own slipped repeat."""
+    rng = random.Random(9)
+    texts = [f"{_word(rng)} {_word(rng)} wins approval solar farm {_word(rng)} despite local objections" for _ in range(150)]
+    h = TextHistory(spark)
+    h.add(_frame(spark, [(t, False, k) for k, t in enumerate(texts[:100])]))
+    assert h.repeats(_frame(spark, [(t, False, 1000) for t in texts[100:]])).count() == 0
+    assert h.compared.value <= 5
+    new = [t.replace("approval", "aproval").replace("objections", "objecitons") for t in texts[:20]]
+    assert {r.text: r.first_ts for r in h.repeats(_frame(spark, [(t, False, 1000) for t in new])).collect()} == {t: k for k, t in enumerate(new)}
+
+
+def test_letters_of_repeats_are_near():
+    """What same_headline accepts differs by two letters a slip at most, or has other numbers of words, or a slipped filler (0)."""
+    rng = random.Random(10)
+    for n in (1, 3, 6, 10):
+        for _ in range(200):
+            a = [_word(rng, rng.choice([4, 6, 9])) for _ in range(n)]
+            b = list(a)
+            for i in rng.sample(range(n), min(n, rng.randrange(0, 4))):
+                b[i] = _slipped(rng, _slipped(rng, b[i]) if rng.random() < 0.5 and len(b[i]) > 4 else b[i])
+            if same_headline(a, b):
+                x, y = (np.array(letter_counts([" ".join(t)])) for t in (a, b))
+                assert letters_apart(x, y)[0] <= 6, (a, b)
+    assert letter_counts(["mill opens reportedyl today", "mill opens", ""])[0::2] == [0, 0]

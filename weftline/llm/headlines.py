@@ -18,6 +18,7 @@ _LABEL = re.compile(r"^\W*(?:%s)(?: ?\d{1,2})?(?:\s*[:\])|–—·]+\s*|\s*-+\s*
 _END_LABEL = re.compile(r"\s*[(\[|–—-]\s*(?:%s)\s*[)\]]?\W*$" % "|".join(map(re.escape, ["video", "photos", "watch", "live", "updated", "exclusive", "update"])), re.I)
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|%")
 _NO_NEWS = {*FILLERS, *FILLERS_ABROAD}
+_LONG_FILLERS = {n: [f for f in FILLERS if len(f) >= 5 and abs(len(f) - n) <= 1] for n in range(4, 1 + max(map(len, FILLERS)) + 1)}  # by the length of the word that may be one with a slip
 
 
 def slip(a: str, b: str) -> bool:
@@ -41,12 +42,14 @@ def two_slips(a: str, b: str) -> bool:
         return False
     if len(a) < len(b):
         a, b = b, a
+    if len(set(a) - set(b)) > 2 or len(set(b) - set(a)) > 1:  # letters of one side only: one for each slip
+        return False
     return any(slip(a[:i] + a[i + 1 :], b) for i in range(len(a))) if len(a) > len(b) else sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) <= 4 and any(slip(a[:i] + a[i + 1] + a[i] + a[i + 2 :], b) for i in range(len(a) - 1))
 
 
 @lru_cache(200_000)
-def _slipped_filler(w: str) -> bool:
-    return any(len(f) >= 5 and slip(w, f) for f in FILLERS)
+def slipped_filler(w: str) -> bool:
+    return any(slip(w, f) for f in _LONG_FILLERS.get(len(w), ()))
 
 
 class Headlines:
@@ -60,12 +63,22 @@ class Headlines:
         self.first: dict[str, list[tuple[str, ...]]] = {}
         for n in self.mastheads:
             self.first.setdefault(n[-1], []).append(n)
+        self.near: dict[str, list[list[tuple[str, ...]]]] = {}
+
+    def _near(self, word: str) -> list[list[tuple[str, ...]]]:
+        """Mastheads whose last word is this one with a slip, kept by word."""
+        found = self.near.get(word)
+        if found is None:
+            if len(self.near) > 200_000:
+                self.near.clear()
+            found = self.near[word] = [ns for w, ns in self.first.items() if slip(word, w)]
+        return found
 
     def _masthead(self, tail: tuple[str, ...]) -> bool:
         if tail in self.mastheads:
             return True
         return any(all(x == y or slip(x, y) for x, y in zip(tail, n)) for n in self.first.get(tail[-1], []) if len(n) == len(tail)) or (
-            any(slip(tail[-1], w) and any(len(n) == len(tail) and n[:-1] == tail[:-1] for n in ns) for w, ns in self.first.items()) if len(tail[-1]) > 3 else False
+            any(len(n) == len(tail) and n[:-1] == tail[:-1] for ns in self._near(tail[-1]) for n in ns) if len(tail[-1]) > 3 else False
         )
 
     def words(self, title: str | None) -> list[str]:
@@ -113,19 +126,14 @@ def same_headline(a: list[str], b: list[str], slips: int = 3) -> bool:
     if abs(len(a) - len(b)) > 2:
         return False
     if len(a) == len(b):
-        left = slips
-        for x, y in zip(a, b):
-            if x != y:
-                left -= 1
-                if left < 0 or not (slip(x, y) or two_slips(x, y)):
-                    break
-        else:
+        apart = [(x, y) for x, y in zip(a, b) if x != y]
+        if len(apart) <= slips and all(slip(x, y) or two_slips(x, y) for x, y in apart):
             return True
     if [w for w in a if w[0].isdigit()] != [w for w in b if w[0].isdigit()]:
         return False
     if "".join(a) == "".join(b):
         return True
-    c, d = [w for w in a if not _slipped_filler(w)], [w for w in b if not _slipped_filler(w)]
+    c, d = [w for w in a if not slipped_filler(w)], [w for w in b if not slipped_filler(w)]
     if (len(c) < len(a) or len(d) < len(b)) and len(c) == len(d):
         return sum(x != y for x, y in zip(c, d)) <= slips and all(x == y or slip(x, y) for x, y in zip(c, d))
     if len(a) != len(b):  # one word in two pieces, or two run together

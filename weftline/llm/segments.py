@@ -9,7 +9,7 @@ the row groups its searches fall in, in the order in which they are stored, and
 A new text is cut into slips + 2 stretches. Whatever slips slips do to it (one of them may cut a word in
 two, which touches two words), one stretch is left whole, so binary searches for the stretches meet every
 earlier text that it can repeat. The words that the meetings cover are added up per record. A record that
-is covered wholly is the same text; of the others, whose word signatures must be near, the texts are
+is covered wholly is the same text; of the others, whose word signatures and numbers of letters must be near, the texts are
 fetched by record id and compared word by word. Texts of fewer words than stretches are searched by
 their words with letters left out, so that slips in every word are met as well.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from itertools import combinations
@@ -34,20 +34,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.headlines import same_headline
+from weftline.llm.headlines import same_headline, slipped_filler
 from weftline.operators.materialize import drop_path, new_path
 
 SLIPS = 3
 ENTRIES_PER_FILE = 250_000
+ENTRIES_PER_TASK = 20_000  # from which a new batch is written in parallel
 SEARCHES_PER_TASK = 100_000
 GROUP_BYTES = 96 * 1024  # of a row group before compression: what one search reads at least
 FOOTERS_AT_ONCE = 32
 SHIFT = 2  # words by which a stretch may stand elsewhere: same_headline takes texts that differ by two words at most
 LONG_WORD = 32  # letters from which a word of a short text is searched by pieces instead of with letters left out
 PIECE = 64
-END = "￿"
-ENTRY = "key string, rec long, ts long, pos int, n int, bits long, text string"
-ASKED = "key string, hi string, a int, size int, n int, bits long, q long, last long"
+END = "\U0010ffff"
+ENTRY = "key string, rec long, ts long, pos int, n int, bits long, letters long, text string"
+ASKED = "key string, a int, size int, n int, bits long, letters long, q long, last long, file int"
+SAMPLE = 2000  # texts whose entries tell where a batch's array is cut into files
 
 
 def record_of(text: str) -> int:
@@ -71,6 +73,26 @@ def signature(words: list[str]) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+def letter_counts(texts: list[str]) -> list[int]:
+    """How often letters of each of 16 kinds stand in a text, four bits each (so up to a multiple of 16), as a signed number; 0 for texts with a
+    slipped filler, which a repeat may lack."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    kind = (codes * np.uint32(0x9E3779B1)) >> np.uint32(28)
+    owner, own = np.cumsum(codes == 10), codes > 32
+    counts = np.bincount(owner[own] * 16 + kind[own], minlength=16 * len(texts)).reshape(len(texts), 16).astype(np.uint64) & np.uint64(15)
+    packed = np.bitwise_or.reduce(counts << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64).tolist()
+    return [0 if any(map(slipped_filler, t.split(" "))) else p for t, p in zip(texts, packed)]
+
+
+def letters_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least so many letters stand in one of two texts only."""
+    out = np.zeros(len(a), np.int64)
+    for s in range(0, 64, 4):
+        d = np.abs((a >> s & 15) - (b >> s & 15))
+        out += np.minimum(d, 16 - d)
+    return out
+
+
 def shortened(word: str) -> set[str]:
     """The word and what is left of it without one letter, from six letters on also without two: words one slip (two slips) apart share one of them."""
     out = {word}
@@ -142,17 +164,57 @@ class SortedFile:
         return range(bisect_left(self.top, lo), bisect_left(self.lo, hi))
 
 
+def whole(key: str) -> bool:
+    """Whether a search is for the key itself (exact items, records), not for all keys that it opens."""
+    return key[0] in "kr"
+
+
+def above(key: str) -> str:
+    """What is greater than every key that a search for this one can meet."""
+    return key + ("\0" if whole(key) else END)
+
+
 def look_up(path: str, asked: pa.RecordBatch, columns: list[str], cache: dict[str, SortedFile]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Rows of the row groups that may hold asked keys (key, hi; in order of key), and for each of them its first row and the one after its last."""
+    """Rows of the row groups that may hold asked keys, and for each of these its first row and the one after its last. Keys are compared
+    as bytes where a binary search touches them; the others are never made Python strings."""
     f = cache.get(path)
     if f is None:
         f = cache[path] = SortedFile(path)
-    ranges = list(zip(asked.column("key").to_pylist(), asked.column("hi").to_pylist()))
-    groups = sorted({g for lo, hi in ranges for g in f.groups(lo, hi)})
+    keys = asked.column("key").to_pylist()
+    spans = [f.groups(k, above(k)) for k in keys]
+    groups = sorted({g for r in spans for g in r})
     rows = f.file.read_row_groups(groups, columns=["key", *columns])
-    keys = rows.column("key").to_pylist()
-    left = np.fromiter((bisect_left(keys, lo) for lo, _ in ranges), np.int64, len(ranges))
-    right = np.fromiter((bisect_left(keys, hi) for _, hi in ranges), np.int64, len(ranges))
+    begin = dict(zip(groups, np.cumsum([0, *(f.sizes[g] for g in groups)]).tolist()))
+    col = rows.column("key").combine_chunks()
+    col = col if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks)
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    at = memoryview(np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1]) if len(col) else memoryview(np.zeros(1, kind))
+    data = col.buffers()[2].to_pybytes() if len(col) else b""
+    left, right = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for i, (key, span) in enumerate(zip(keys, spans)):
+        if not span:
+            continue
+        k, n, alone = key.encode(), len(key.encode()), whole(key)
+        lo, end = begin[span[0]], begin[span[-1]] + f.sizes[span[-1]]
+        hi = end
+        while lo < hi:
+            mid = (lo + hi) >> 1
+            if data[at[mid] : at[mid + 1]] < k:
+                lo = mid + 1
+            else:
+                hi = mid
+        left[i] = lo
+        step, hi = 1, lo  # rows met lie next to each other: hi steps beyond them, then the last step is halved
+        while hi < end and data[at[hi] : at[hi + 1] if alone else min(at[hi] + n, at[hi + 1])] == k:
+            lo, hi, step = hi + 1, hi + step, 2 * step
+        hi = min(hi, end)
+        while lo < hi:
+            mid = (lo + hi) >> 1
+            if data[at[mid] : at[mid + 1] if alone else min(at[mid] + n, at[mid + 1])] == k:
+                lo = mid + 1
+            else:
+                hi = mid
+        right[i] = lo
     return rows, left, right
 
 
@@ -178,6 +240,7 @@ class TextHistory:
         self.segments: list[Segment] = []
         self.version = 0
         self.rows_read = spark.sparkContext.accumulator(0)
+        self.compared = spark.sparkContext.accumulator(0)  # texts that were fetched to be compared word by word
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **how) -> TextHistory:
@@ -222,14 +285,16 @@ class TextHistory:
         """Take in a batch as a new segment: items (text, exact, ts). Equal items become one, with the earliest moment; null and empty ones
         are left out. Segments of equal level are merged in the same write."""
         slips = self.slips
+        cuts: list[tuple[str, int]] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for s in range(0, batch.num_rows, 2000):
-                    key, rec, when, pos, size, bits, body = [], [], [], [], [], [], []
-                    for text, exact, ts in zip(*(c.to_pylist() for c in batch.slice(s, 2000).columns)):
+                    key, rec, when, pos, size, bits, letters, body = [], [], [], [], [], [], [], []
+                    given = [c.to_pylist() for c in batch.slice(s, 2000).columns]
+                    for text, exact, ts, count in zip(*given, letter_counts(given[0])):
                         if exact:
-                            made, told, r, n, b = [("k|" + text, 0)], [None], record_of("k|" + text), 1, 0
+                            made, told, r, n, b, count = [("k|" + text, 0)], [None], record_of("k|" + text), 1, 0, 0
                         else:
                             w = text.split(" ")
                             r, n, b = record_of(text), len(w), signature(w)
@@ -242,22 +307,31 @@ class TextHistory:
                         when += [ts] * k
                         size += [n] * k
                         bits += [b] * k
+                        letters += [count] * k
                         body += told
-                    yield _batch(ENTRY, [key, rec, when, pos, size, bits, body])
+                    made = [key, rec, when, pos, size, bits, letters, body]
+                    yield _batch(f"{ENTRY}, range int", [*made, [bisect_right(cuts, x) for x in zip(key, rec)]]) if cuts else _batch(ENTRY, made)
 
-        rows = _given(items).groupBy("text", "exact").agg(F.min("ts").alias("ts")).mapInArrow(run, ENTRY)
+        given = _given(items).groupBy("text", "exact").agg(F.min("ts").alias("ts"))
         level, merged = 0, []
         while self.segments and self.segments[-1].level == level:
             merged.append(self.segments.pop())
             level += 1
         if merged:
-            rows = rows.unionByName(self.spark.read.schema(ENTRY).parquet(*[s.path for s in merged]))
+            rows = given.mapInArrow(run, ENTRY).unionByName(self.spark.read.schema(ENTRY).parquet(*[s.path for s in merged]))
             parts = max(1, -(-2 * merged[-1].rows // self.per_file))  # equal levels are of about equal size; maxRecordsPerFile bounds the rest
+            # equal rows of (key, rec) are in one of the ranges already, so the aggregation needs no shuffle of its own
             rows = rows.repartitionByRange(parts, "key", "rec")
+            one = rows.groupBy("key", "rec").agg(*[F.min(c).alias(c) for c in ("ts", "pos", "n", "bits", "letters", "text")]).sortWithinPartitions("key", "rec")
         else:
-            rows = rows.repartitionByRange("key", "rec")
-        # equal rows of (key, rec) are in one of the ranges already, so the aggregation needs no shuffle of its own
-        one = rows.groupBy("key", "rec").agg(*[F.min(c).alias(c) for c in ("ts", "pos", "n", "bits", "text")]).sortWithinPartitions("key", "rec")
+            # texts of one batch differ, so their entries do. Ranges are cut by the entries of a sample (the least of a hash); repartitionByRange would make all entries twice
+            texts = given.select("text", "exact", F.xxhash64("text").alias("_h")).orderBy("_h", "text", "exact").limit(SAMPLE).collect()
+            share = (texts[-1]["_h"] + (1 << 63)) / (1 << 64) if len(texts) == SAMPLE else 1.0  # of all texts that is in the sample
+            told = sorted((k, record_of("k|" + t)) if e else (k, record_of(t)) for t, e, _ in texts for k, _ in ([("k|" + t, 0)] if e else [(record_key(record_of(t)), 0), *entries_of(t, slips)]))
+            rows = len(told) / max(share, 1e-12)
+            parts = int(max(rows // self.per_file, min(rows // ENTRIES_PER_TASK, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))) + 1
+            cuts = sorted({told[i * len(told) // parts] for i in range(1, parts)}) or [(END, 0)]
+            one = given.mapInArrow(run, f"{ENTRY}, range int").repartitionById(len(cuts) + 1, "range").drop("range").sortWithinPartitions("key", "rec")
         path = f"{self.path}/level{level}-{uuid.uuid4().hex[:12]}"
         out = one.write.option("compression", "zstd").option("maxRecordsPerFile", 2 * self.per_file).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", GROUP_BYTES)
         out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
@@ -266,32 +340,27 @@ class TextHistory:
         for s in merged:
             drop_path(self.spark, s.path)
 
-    def _routed(self, asked: DataFrame, passes: str | None = None) -> DataFrame:
-        """asked (key, hi, ...) with the number of each file that may hold keys of [key, hi), in order of file and key. Spread by a hash of file and
-        asking record, so that neither a file nor a key that many ask for is one task. Rows of which passes is true get file -1."""
+    def _router(self) -> Callable[[list[str]], tuple[list[int], list[int]]]:
+        """For keys of searches: the index of each and the number of each file that it may be met in."""
         begins = [int(x) for x in np.cumsum([0, *(len(s.files) for s in self.segments)])]
         shared = self.spark.sparkContext.broadcast((begins, [[f[1] for f in s.files] for s in self.segments], [[f[2] for f in s.files] for s in self.segments]))  # a row a file
 
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            begins, lows, tops = shared.value
-            for batch in batches:
-                at, to = [], []
-                done = batch.column(passes).to_pylist() if passes else [False] * batch.num_rows
-                for i, (lo, hi, free) in enumerate(zip(batch.column("key").to_pylist(), batch.column("hi").to_pylist(), done)):
-                    if free:
+        def route(keys: list[str]) -> tuple[list[int], list[int]]:
+            at, to = [], []
+            for i, key in enumerate(keys):
+                hi = above(key)
+                for b, low, top in zip(*shared.value):
+                    for k in range(bisect_left(top, key), bisect_left(low, hi)):
                         at.append(i)
-                        to.append(-1)
-                        continue
-                    for b, low, top in zip(begins, lows, tops):
-                        for k in range(bisect_left(top, lo), bisect_left(low, hi)):
-                            at.append(i)
-                            to.append(b + k)
-                rows = pa.array(at, pa.int32())
-                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(to, pa.int32())], names=[*batch.schema.names, "file"])
-
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+                        to.append(b + k)
+            return at, to
+
+        return route
+
+    def _spread(self, routed: DataFrame) -> DataFrame:
+        """Searches in order of file and key, spread by a hash of file and asking record, so that neither a file nor a key that many ask for is one task."""
         salts = max(1, -(-(self.segments[-1].rows >> self.segments[-1].level) // SEARCHES_PER_TASK))  # by the size of the newest batch
-        return asked.mapInArrow(route, f"{kept}, file int").repartition("file", F.pmod(F.col("q"), F.lit(salts))).sortWithinPartitions("file", "key")
+        return routed.repartition("file", F.pmod(F.col("q"), F.lit(salts))).sortWithinPartitions("file", "key")
 
     def repeats(self, items: DataFrame) -> DataFrame:
         """(text, exact, first_ts) of those of the items (text, exact, ts) that repeat one taken in before their latest ts: its moment, the
@@ -299,38 +368,42 @@ class TextHistory:
         asking = _given(items).groupBy("text", "exact").agg(F.max("ts").alias("last"))
         if not self.segments:
             return asking.limit(0).select("text", "exact", F.col("last").alias("first_ts"))
-        slips, read = self.slips, self.rows_read
+        slips, read, compared = self.slips, self.rows_read, self.compared
         names = self.spark.sparkContext.broadcast([f[0] for s in self.segments for f in s.files])
+        route = self._router()
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for s in range(0, batch.num_rows, 5000):
-                    key, hi, a, size, n, bits, q, last = [], [], [], [], [], [], [], []
-                    for text, exact, until in zip(*(c.to_pylist() for c in batch.slice(s, 5000).columns)):
+                    key, a, size, n, bits, letters, q, last = [], [], [], [], [], [], [], []
+                    given = [c.to_pylist() for c in batch.slice(s, 5000).columns]
+                    for text, exact, until, count in zip(*given, letter_counts(given[0])):
                         if exact:
-                            made, r, length, b = [("k|" + text, 0, 1)], record_of("k|" + text), 1, 0
-                            hi.append(made[0][0] + "\0")
+                            made, r, length, b, count = [("k|" + text, 0, 1)], record_of("k|" + text), 1, 0, 0
                         else:
                             w = text.split(" ")
                             made, r, length, b = searches_of(text, slips), record_of(text), len(w), signature(w)
-                            hi += [m[0] + END for m in made]
                         k = len(made)
                         key += [m[0] for m in made]
                         a += [m[1] for m in made]
                         size += [m[2] for m in made]
                         n += [length] * k
                         bits += [b] * k
+                        letters += [count] * k
                         q += [r] * k
                         last += [until] * k
-                    yield _batch(ASKED, [key, hi, a, size, n, bits, q, last])
+                    at, to = route(key)
+                    rows = pa.array(at, pa.int32())
+                    made = _batch(ASKED.removesuffix(", file int"), [key, a, size, n, bits, letters, q, last])
+                    yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in made.columns], pa.array(to, pa.int32())], names=[*made.schema.names, "file"])
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache: dict[str, SortedFile] = {}
             for file, part in _by_file(batches):
-                rows, left, right = look_up(names.value[file], part, ["rec", "ts", "pos", "n", "bits"], cache)
+                rows, left, right = look_up(names.value[file], part, ["rec", "ts", "pos", "n", "bits", "letters"], cache)
                 read.add(rows.num_rows)
-                rec, ts, pos, n, bits = (rows.column(c).to_numpy() for c in ("rec", "ts", "pos", "n", "bits"))
-                a, size, qn, qbits, q, last = (part.column(c).to_numpy() for c in ("a", "size", "n", "bits", "q", "last"))
+                rec, ts, pos, n, bits, letters = (rows.column(c).to_numpy() for c in ("rec", "ts", "pos", "n", "bits", "letters"))
+                a, size, qn, qbits, qletters, q, last = (part.column(c).to_numpy() for c in ("a", "size", "n", "bits", "letters", "q", "last"))
                 bits, qbits = bits.view(np.uint64), qbits.view(np.uint64)
                 width = right - left
                 ends = np.cumsum(width)
@@ -342,15 +415,26 @@ class TextHistory:
                     near = (ts[k] < last[i]) & (np.abs(n[k] - qn[i]) <= SHIFT)
                     near &= (size[i] == 0) | (np.abs(pos[k] - a[i]) <= SHIFT) & (np.bitwise_count(qbits[i] & ~bits[k]) <= slips + 1) & (np.bitwise_count(bits[k] & ~qbits[i]) <= slips + 1)
                     i, k = i[near], k[near]
+                    # texts of as many words, without slipped fillers, differ by two letters a slip
+                    near = (n[k] != qn[i]) | (letters[k] == 0) | (qletters[i] == 0) | (letters_apart(letters[k], qletters[i]) <= 2 * slips)
+                    i, k = i[near], k[near]
                     yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(rec[k]), pa.array(size[i].astype(np.int64)), pa.array(ts[k]), pa.array(qn[i])], names=["q", "rec", "size", "ts", "n"])
 
-        asked = asking.mapInArrow(cut, ASKED)
-        met = self._routed(asked).mapInArrow(search, "q long, rec long, size long, ts long, n int")
+        met = self._spread(asking.mapInArrow(cut, ASKED)).mapInArrow(search, "q long, rec long, size long, ts long, n int")
         met = met.groupBy("q", "rec").agg(F.sum("size").alias("covered"), F.min("ts").alias("ts"), F.min("n").alias("n"))
         number = _numbered(asking)
         met = met.join(number, "q").withColumn("same", (F.col("q") == F.col("rec")) & (F.col("covered") >= F.col("n")))
         key = F.concat(F.lit("r|"), F.lpad(F.lower(F.hex(F.col("rec").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0"))
-        wanted = met.select(key.alias("key"), F.concat(key, F.lit("\0")).alias("hi"), "q", "ts", "same", "text", "exact")
+        wanted = met.select(key.alias("key"), "q", "ts", "same", "text", "exact")
+
+        def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Routes of the records to be read; those that are the same text need none and get file -1."""
+            for batch in batches:
+                same = batch.column("same").to_numpy(zero_copy_only=False)
+                free, other = np.flatnonzero(same), np.flatnonzero(~same)
+                at, to = route(batch.column("key").take(pa.array(other)).to_pylist())
+                rows = pa.array(np.concatenate([free, other[at] if at else other[:0]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array([-1] * len(free) + to, pa.int32())], names=[*batch.schema.names, "file"])
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache: dict[str, SortedFile] = {}
@@ -360,12 +444,13 @@ class TextHistory:
                 if file >= 0:
                     rows, left, right = look_up(names.value[file], part, ["text"], cache)
                     read.add(rows.num_rows)
+                    compared.add(int((right - left).sum()))
                     body = rows.column("text").to_pylist()
                     split = [x.split(" ") for x in mine]
                     keep = [i for i in keep if any(body[k] is not None and same_headline(split[i], body[k].split(" "), slips) for k in range(left[i], right[i]))]
                 yield _batch("text string, exact boolean, ts long", [[x[i] for i in keep] for x in (mine, exact, ts)])
 
-        told = self._routed(wanted, "same").mapInArrow(verify, "text string, exact boolean, ts long")
+        told = self._spread(wanted.mapInArrow(seek, "key string, q long, ts long, same boolean, text string, exact boolean, file int")).mapInArrow(verify, "text string, exact boolean, ts long")
         return told.groupBy("text", "exact").agg(F.min("ts").alias("first_ts"))
 
 
