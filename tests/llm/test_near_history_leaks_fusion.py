@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.llm.cleaning import words
-from weftline.llm.fusion import boilerplate, fuse, own_text
+from weftline.llm.fusion import boilerplate, chosen, fuse, own_text
 from weftline.llm.headlines import Headlines, same_headline, slip
 from weftline.llm.leaks import WordIds, find_leaks, holds
 from weftline.llm.near import near_pairs
@@ -220,3 +220,13 @@ def test_a_hot_group_is_kept_small(spark):
     rows = [("hot", "f", f"s{k % 7}", k, f"v{k}", k % 5000) for k in range(6000)] + [("cold", "f", "s1", 9999, "x", 0)]
     c = spark.createDataFrame(rows, "group string, field string, source string, row_id long, value string, preference long")
     assert {r.group: r.row_id for r in fuse(c).collect()} == {"hot": 4999, "cold": 9999}
+
+
+def test_the_rule_holds_and_votes_decide_its_ties(spark):
+    """150 sources don't overrule the latest moment; of two values that are equally good the one with more votes is taken, not the smallest id."""
+    rows = [("late", "f", f"h{k}", 1000 + k, "plain", 1) for k in range(150)] + [("late", "f", "lead", 1, "best", 2)]
+    rows += [("tie", "f", "a", 5, "x", 9), ("tie", "f", "b", 6, "y", 9), ("tie", "f", "c", 7, "y", 9), ("one", "f", "a", 8, "x", 3), ("one", "f", "b", 9, None, 4)]
+    c = spark.createDataFrame(rows, "group string, field string, source string, row_id long, value string, preference long")
+    assert {r.group: r.row_id for r in chosen(c).collect()} == {"late": 1, "tie": 6, "one": 8}
+    assert {r.group: r.row_id for r in chosen(c.filter("group <> 'tie'")).collect()} == {"late": 1, "one": 8}
+    assert chosen(c.limit(0)).count() == 0
