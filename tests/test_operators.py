@@ -254,3 +254,15 @@ def test_online_assignment(spark):
     df = spark.createDataFrame(rows, "id long, title string, body string, at long, topic string, is_near_duplicate boolean, duplicate_of long")
     got = {r.id: (r.story_id, r.method) for r in assign_stories(df).collect()}
     assert got == {1: (1, "new_story"), 2: (1, "online"), 3: (1, "duplicate_link"), 4: (4, "new_story"), 5: (5, "new_story")}
+
+
+def test_simhash_pairs_in_large_groups_come_once(spark):
+    """Groups beyond the bound for tiles and rows that share many keys: each pair once. The plan stays small, as the driver holds every version of it."""
+    rng = random.Random(8)
+    hs = sorted({sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(1500)})
+    hs = [h - (1 << 64) if h >> 63 else h for h in hs]
+    df = simhash_pairs(spark.createDataFrame(list(enumerate(hs)), "id long, h long"), "id", "h")
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = sorted((r.a, r.b, r.bits) for r in df.collect())
+    bits = lambda i, j: bin((hs[i] ^ hs[j]) & (1 << 64) - 1).count("1")
+    assert got == [(i, j, bits(i, j)) for i in range(len(hs)) for j in range(i + 1, len(hs)) if bits(i, j) <= 5]
