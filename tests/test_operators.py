@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -266,3 +268,42 @@ def test_simhash_pairs_in_large_groups_come_once(spark):
     got = sorted((r.a, r.b, r.bits) for r in df.collect())
     bits = lambda i, j: bin((hs[i] ^ hs[j]) & (1 << 64) - 1).count("1")
     assert got == [(i, j, bits(i, j)) for i in range(len(hs)) for j in range(i + 1, len(hs)) if bits(i, j) <= 5]
+
+
+def test_lexical_search_shuffles_no_pairs(spark, monkeypatch):
+    """Each query meets every document in one of its words, in several blocks: against loops, ties by id. Before, one row a pair was shuffled."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = {i: ("all " + " ".join(rng.choices(words, k=rng.randint(1, 6))), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(300)}
+    docs = spark.createDataFrame([(i, *t) for i, t in texts.items()], "id long, title string, body string").repartition(5)
+    asked = {q: "all " + " ".join(rng.choices(words, k=3)) for q in range(20)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    monkeypatch.setattr("weftline.operators.lexical.BLOCK_POSTINGS", 200)
+
+    def best(vectors, q):
+        score = {i: sum(q[t] * v[t] for t in q if t in v) for i, v in vectors.items()}
+        return [i for i in sorted(score, key=lambda i: (-round(score[i], 8), i)) if score[i] > 0][:4]
+
+    tf = {i: {w: 2 * a.split().count(w) + b.split().count(w) for w in {*a.split(), *b.split()}} for i, (a, b) in texts.items()}
+    df = {w: sum(w in v for v in tf.values()) for w in [*words, "all"]}
+    avg = sum(sum(v.values()) for v in tf.values()) / 300
+    bm = {i: {w: f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(v.values()) / avg)) for w, f in v.items()} for i, v in tf.items()}
+    hits = bm25_topk(docs, "id", F.col("title"), F.col("body"), queries, 4)
+    assert "Join" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {q: best(bm, {w: math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) for w in set(t.split())}) for q, t in asked.items()}
+
+    def terms(x):
+        t = [w for w in x.replace(".", " ").split()]
+        return t + [f"{a} {b}" for a, b in zip(t, t[1:])] if len(t) > 1 else t
+
+    counts = {i: Counter(terms(f"{a}. {b}")) for i, (a, b) in texts.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    weigh = lambda c: {t: (1 + math.log(f)) * (math.log(301 / (1 + df[t])) + 1) for t, f in c.items() if t in df}
+    unit = lambda v: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()}
+    got = {}
+    for r in tfidf_topk(docs, "id", T.body_text(F.col("title"), F.col("body")), queries, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {q: best({i: unit(weigh(c)) for i, c in counts.items()}, unit(weigh(Counter(terms(t))))) for q, t in asked.items()}
