@@ -307,3 +307,15 @@ def test_lexical_search_shuffles_no_pairs(spark, monkeypatch):
     for r in tfidf_topk(docs, "id", T.body_text(F.col("title"), F.col("body")), queries, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.doc_id)
     assert got == {q: best({i: unit(weigh(c)) for i, c in counts.items()}, unit(weigh(Counter(terms(t))))) for q, t in asked.items()}
+
+
+def test_token_pairs_leave_the_lists_verified(spark):
+    """Sets that share rare tokens but are not similar are no pairs, and shingles are not carried through the joins of titles."""
+    rng = random.Random(4)
+    sets = {i: rng.sample(range(14), rng.randint(1, 12)) for i in range(250)}
+    df = spark.createDataFrame([(i, [f"t{x}" for x in s]) for i, s in sets.items()], "id long, t array<string>")
+    got = sorted((r.a, r.b) for r in token_pairs(df, "id", "t", 0.8).collect())
+    near = lambda a, b: len({*a} & {*b}) >= 0.8 * len({*a} | {*b}) - 1e-9
+    assert got == [(i, j) for i in sets for j in sets if i < j and near(sets[i], sets[j])]
+    plan = title_pairs(spark.createDataFrame([(1, "a b c")], "id long, title string"), "id", "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS s_a#" not in plan and "AS v_a#" in plan
